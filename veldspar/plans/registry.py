@@ -6,6 +6,6 @@ from types import ModuleType
 
 
 def modules() -> list[ModuleType]:
-    from veldspar.plans import problems
+    from veldspar.plans import graphs, problems, relational
 
-    return [problems]
+    return [problems, graphs, relational]
