@@ -6,6 +6,6 @@ from types import ModuleType
 
 
 def modules() -> list[ModuleType]:
-    from veldspar.plans import graphs, problems, relational
+    from veldspar.plans import graphs, problems, relational, texts
 
-    return [problems, graphs, relational]
+    return [problems, graphs, relational, texts]
