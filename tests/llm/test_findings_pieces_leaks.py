@@ -33,7 +33,7 @@ def test_votes_trust_the_agreeing_source(spark):
     for i in range(30):
         for k, src in enumerate(("good", "good2", "bad")):
             rows.append(finding(i * 10 + k, 100 * i, 1, msg=("true" if src != "bad" else f"false{i}"), src=src))
-    recs = defects.with_defects(defects.records(spark.createDataFrame(rows, F_SCHEMA), spark.createDataFrame([("bad", 5)], "source string, trust int")))
+    recs = defects.numbered(defects.with_defects(defects.records(spark.createDataFrame(rows, F_SCHEMA), spark.createDataFrame([("bad", 5)], "source string, trust int"))))
     winners, reliability = defects.discovered(recs)
     assert reliability["good"] > reliability["bad"]
     assert {r.value for r in winners.where("field = 'message'").collect()} == {"true"}

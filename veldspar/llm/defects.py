@@ -9,8 +9,9 @@ Method: iterative truth discovery. Every source has a reliability; the value
 of a field with the highest sum of reliabilities of the sources that report it
 wins; the reliability of a source is the share of its claims that won; both
 are computed in turns until the reliabilities stand still. The start is the
-given trust. The surviving record takes each field from the votes, and names
-the record that is most complete, most recent and most trusted.
+given trust. The surviving record takes each field from the votes and its
+source from the most trusted and latest report, and names the record that is
+most complete, most recent and most trusted.
 
 Nulls: blank texts, NaN and texts that stand for nothing claim no value. A
 source that stands for nothing has trust 0 and shares one reliability. A
@@ -19,14 +20,16 @@ report without repo, owner, kind or line is linked to none and stands alone.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import json
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from veldspar.functions.keys import holds_number, holds_something, something, spelling, trimmed
 from veldspar.session import checkpointed
 
-FIELDS = ("message", "severity", "confidence", "source")
+FIELDS = ("message", "severity", "confidence")
 #: Reliabilities are kept on the driver; there are as many as sources, which are classes of tools.
 MAX_SOURCES = 100_000
 
@@ -60,32 +63,50 @@ def with_defects(recs: DataFrame, gap: int = 3) -> DataFrame:
 
 
 def discovered(recs: DataFrame, max_rounds: int = 10, tolerance: float = 1e-3) -> tuple[DataFrame, dict[str, float]]:
-    """((_gkey, field, value, votes) of the winners, source -> reliability)."""
+    """((gid, field, value, votes) of the winners, source -> reliability).
+
+    A value is one row with the sources that claim it, so a round weighs it
+    without a join. Only values that another one contests are voted on again;
+    the others have won in every round.
+    """
     claim = F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).cast("string").alias("value")) for f in FIELDS])).alias("c")
-    claims = recs.select("_gkey", "_src", "trust", "reported_at", claim).select("_gkey", "_src", "trust", "reported_at", "c.field", "c.value").where("value is not null")
-    claims = checkpointed(claims.groupBy("_gkey", "field", "value", "_src").agg(F.count(F.lit(1)).alias("n"), F.max("trust").alias("trust"), F.max("reported_at").alias("latest")))
-    start = claims.groupBy("_src").agg(F.max("trust").alias("t"), F.sum("n").alias("n")).orderBy("_src").limit(MAX_SOURCES + 1).collect()
-    if len(start) > MAX_SOURCES:
+    claims = recs.select("gid", "ord", "_src", "trust", "reported_at", claim).select("gid", "ord", "_src", "trust", "reported_at", "c.field", "c.value").where("value is not null")
+    per_source = claims.groupBy("gid", "field", "value", "_src").agg(F.count(F.lit(1)).alias("n"), F.max("trust").alias("trust"), F.max("reported_at").alias("latest"), F.min("ord").alias("ord"))
+    values = per_source.groupBy("gid", "field", "value").agg(F.min("ord").alias("vid"), F.max("latest").alias("latest"), F.collect_list(F.struct("_src", "n", "trust")).alias("by"))
+    values = checkpointed(values)
+    sources = values.select(F.explode("by").alias("b")).groupBy("b._src").agg(F.max("b.trust").alias("t"), F.sum("b.n").alias("n")).orderBy("_src").limit(MAX_SOURCES + 1).collect()
+    if len(sources) > MAX_SOURCES:
         raise ValueError(f"more than {MAX_SOURCES} sources; group them first")
-    reliability = {r._src: (r.t + 1) / 6 for r in start}
-    best = None
-    spark = recs.sparkSession
+    reliability = {r._src: (r.t + 1) / 6 for r in sources}
+    contested = values.groupBy("gid", "field").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("gid", "field")
+    open_ = checkpointed(values.join(contested, ["gid", "field"], "left_semi").select("gid", "field", "vid", "latest", F.transform("by", lambda b: F.struct(b["_src"].alias("_src"), b["n"].alias("n"))).alias("by")))
+    all_open = {r["_src"]: r["n"] for r in open_.select(F.explode("by").alias("b")).groupBy("b._src").agg(F.sum("b.n").alias("n")).collect()}
+    key = ["gid", "field"]
     for _ in range(max_rounds):
-        weight = F.broadcast(spark.createDataFrame(list(reliability.items()) or [("", 0.0)], "_src string, w double"))
-        votes = claims.join(weight, "_src").groupBy("_gkey", "field", "value").agg(F.round(F.sum(F.col("w") * F.col("n")), 9).alias("votes"), F.max("latest").alias("latest"), F.collect_list(F.struct("_src", "n")).alias("by"))
-        order = F.struct("votes", "latest", "value")
-        best = votes.groupBy("_gkey", "field").agg(F.max(order).alias("top"), F.sum(F.size("by")).alias("_n"))
-        won = votes.join(best.select("_gkey", "field", F.col("top.value").alias("value")), ["_gkey", "field", "value"]).select(F.explode("by").alias("b")).groupBy("b._src").agg(F.sum("b.n").alias("won"))
+        best = open_.select(*key, "vid", "latest", _votes(reliability).alias("votes")).groupBy(*key).agg(F.max(F.struct("votes", "latest", "vid"))["vid"].alias("vid"))
+        won = open_.join(best, [*key, "vid"], "left_semi").select(F.explode("by").alias("b")).groupBy("b._src").agg(F.sum("b.n").alias("won"))
         right = {r["_src"]: r["won"] for r in won.collect()}  # a row per source
-        new = {r._src: (right.get(r._src, 0) + 1) / (r.n + 2) for r in start}
+        new = {r._src: (r.n - all_open.get(r._src, 0) + right.get(r._src, 0) + 1) / (r.n + 2) for r in sources}
         change = max((abs(new[s] - reliability[s]) for s in new), default=0.0)
         reliability = new
         if change <= tolerance:
             break
-    winners = best.select("_gkey", "field", F.col("top.value").alias("value"), F.col("top.votes").alias("votes")) if best is not None else None
+    top = F.max(F.struct("votes", "latest", "vid", "value")).alias("top")
+    winners = values.select(*key, "value", "vid", "latest", _votes(reliability).alias("votes")).groupBy(*key).agg(top).select(*key, F.col("top.value").alias("value"), F.col("top.votes").alias("votes"))
     return winners, reliability
 
 
+def _votes(reliability: dict[str, float]) -> Column:
+    weights = F.from_json(F.lit(json.dumps(reliability)), "map<string,double>")
+    return F.round(F.aggregate("by", F.lit(0.0), lambda a, b: a + F.coalesce(F.try_element_at(weights, b["_src"]), F.lit(0.0)) * b["n"]), 9)
+
+
+def numbered(grouped: DataFrame) -> DataFrame:
+    """``gid``, the least ``ord`` of the defect, in place of its long key."""
+    ids = grouped.groupBy("_gkey").agg(F.min("ord").alias("gid"))
+    return grouped.join(ids, "_gkey").drop("_gkey")
+
+
 def best_records(findings: DataFrame, trust: DataFrame, gap: int = 3, max_rounds: int = 10) -> DataFrame:
     """One row per defect.
 
@@ -95,15 +116,15 @@ def best_records(findings: DataFrame, trust: DataFrame, gap: int = 3, max_rounds
     least ``ord``;
     ``is_best`` says that no other record beats it in any of the first three.
     """
-    recs = checkpointed(with_defects(records(findings, trust), gap))
+    recs = checkpointed(numbered(with_defects(records(findings, trust), gap)))
     winners, _ = discovered(recs, max_rounds)
-    voted = winners.groupBy("_gkey").agg(*[F.max(F.when(F.col("field") == f, F.col("value"))).alias(f) for f in FIELDS], F.round(F.sum("votes"), 6).alias("support"))
-    tops = recs.groupBy("_gkey").agg(
-        F.min("ord").alias("first_ord"), F.first("repo").alias("repo"), F.first("owner").alias("owner"), F.first("sub").alias("sub"), F.min("line").alias("first_line"), F.max("line").alias("last_line"),
-        F.count(F.lit(1)).alias("n_records"), F.max("complete").alias("m_complete"), F.max("reported_at").alias("m_reported"), F.max("trust").alias("m_trust"),
+    voted = winners.groupBy("gid").agg(*[F.max(F.when(F.col("field") == f, F.col("value"))).alias(f) for f in FIELDS], F.round(F.sum("votes"), 6).alias("support"))
+    tops = recs.groupBy("gid").agg(
+        F.first("repo").alias("repo"), F.first("owner").alias("owner"), F.first("sub").alias("sub"), F.min("line").alias("first_line"), F.max("line").alias("last_line"),
+        F.count(F.lit(1)).alias("n_records"), F.max("complete").alias("m_complete"), F.max("reported_at").alias("m_reported"), F.max("trust").alias("m_trust"), F.max(F.when(F.col("source").isNotNull(), F.struct("trust", "reported_at", "source")))["source"].alias("source"),
         F.max(F.struct("complete", "reported_at", "trust", (-F.col("ord")).alias("o"))).alias("b"),
     )
-    out = tops.join(voted, "_gkey", "left")
+    out = tops.join(voted, "gid", "left").withColumnRenamed("gid", "first_ord")
     same = (F.col("b.complete") == F.col("m_complete")) & F.col("b.reported_at").eqNullSafe(F.col("m_reported")) & (F.col("b.trust") == F.col("m_trust"))
     return out.select(
         "first_ord", "repo", "owner", "sub", "first_line", "last_line", "n_records", (-F.col("b.o")).alias("best_ord"), same.alias("is_best"),
