@@ -13,6 +13,7 @@ def kinds(text):
         ("Mail june.lee+x@mail.a-b.example.", {("june.lee+x@mail.a-b.example", "email")}),
         ("Reach me at rhollow [at] team [dot] quarrow [dot] test now", {("rhollow [at] team [dot] quarrow [dot] test", "email")}),
         ("Mail ivy69(at)dev.ostrell.test.", {("ivy69(at)dev.ostrell.test", "email")}),
+        ("Reach me at june.lee @ zel.example or at amos.w at hub-k dot example", {("june.lee @ zel.example", "email"), ("amos.w at hub-k dot example", "email")}),
         ("write to amos at hub dot example or", {("amos at hub dot example", "email")}),
         ("Clone git@forge.lumen.test:core/web.git first. Pin left-pad@2.4.1, `@app.get('/x')`, HEAD@{3}", set()),
         ("Call +1 (950) 555-0102 ext. 14 if", {("+1 (950) 555-0102 ext. 14", "phone")}),

@@ -144,12 +144,14 @@ def _emails(text: str) -> Iterator[tuple[int, int, str, float]]:
         if after[:1] == ":" and after[1:2].strip() and after[1:2] not in "/\"'" or text[max(0, m.start() - 3) : m.start()] == "://" or after[:1] == "/" and m[1].lower() == "git":
             continue  # where a repository is cloned from
         yield m.start(), m.end(), "email", 3.0
-    for m in _HIDDEN.finditer(text):
+    pos = 0
+    while (m := _HIDDEN.search(text, pos)) is not None:
         whole = m.group()
-        if "@" not in whole and not re.search(r"[\[({<]\s?(?:at|AT|At|a|ät|arroba|chez)\s?[\])}>]", whole) and not re.search(_DOT, whole):
-            continue  # a plain "at" needs a spelled-out dot
-        if re.search(r"@\d+(?:\.\d+)*$", whole):
+        bracketed = re.search(r"[\[({<]\s?(?:at|AT|At|a|ät|arroba|chez)\s?[\])}>]", whole)
+        if "@" not in whole and not bracketed and not re.search(_DOT, whole) or re.search(r"@\s?\d+(?:\.\d+)*$", whole):
+            pos = m.end(1)  # a plain "at" needs a spelled-out dot; what looked like the host may be a local part
             continue
+        pos = m.end()
         yield m.start(), m.end(), "email", 2.0
 
 
