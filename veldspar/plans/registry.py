@@ -6,6 +6,6 @@ from types import ModuleType
 
 
 def modules() -> list[ModuleType]:
-    from veldspar.plans import extraction, graphs, problems, relational, texts
+    from veldspar.plans import extraction, graphs, impact, problems, relational, texts
 
-    return [problems, graphs, relational, texts, extraction]
+    return [problems, graphs, relational, texts, extraction, impact]
