@@ -67,3 +67,13 @@ def ship(spark: SparkSession) -> None:
             z.write(f, f"{here.name}/{f.relative_to(here)}")
     sc.addPyFile(path)
     sc._veldspar_shipped = True
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over all cores where its input has far fewer parts than there are.
+
+    For costly work per row on a small input, such as a single file. An input
+    of any size worth a cluster has parts enough and is left where it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if 2 * df.rdd.getNumPartitions() <= cores else df
