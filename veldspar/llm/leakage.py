@@ -23,6 +23,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from veldspar.session import spread
+
 #: Runs of letters and digits; an underscore separates.
 WORD = re.compile(r"[^\W_]+")
 #: Words of a block of the shift table.
@@ -77,7 +79,7 @@ def leaked_items(documents: DataFrame, items: DataFrame, span: int = 12, max_ite
     items = items.select("item_id", "text").where("item_id is not null and text is not null").distinct()
     chars = items.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
     passes = max(1, -(-chars // max_item_chars))
-    documents = documents.select("doc_id", "text").where("doc_id is not null and text is not null")
+    documents = spread(documents.select("doc_id", "text").where("doc_id is not null and text is not null"))
     out = None
     for k in range(passes):
         part = [(r.item_id, r.text) for r in items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(passes)) == k).collect()]

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from veldspar.functions.keys import spelling
 from veldspar.llm.tokens import TOKENIZER, token_count
 from veldspar.operators.prefix import running
-from veldspar.session import checkpointed
+from veldspar.session import checkpointed, spread
 
 BLOCK_TOKENS = 4096
 SHARD_TOKENS = 200_000
@@ -85,7 +85,7 @@ def mixed(documents: DataFrame, targets: DataFrame, tokenizer: str = TOKENIZER,
     """
     spark = documents.sparkSession
     goal = {r.s: (float(r.w or 0), int(r.r or 0)) for r in targets.select(spelling("source").alias("s"), F.col("target_share").alias("w"), F.col("max_repeats").alias("r")).where("s is not null").groupBy("s").agg(F.max("w").alias("w"), F.max("r").alias("r")).collect()}
-    counted = documents.select("doc_id", spelling("source").alias("source"), "text").where(F.col("doc_id").isNotNull() & F.col("source").isin(*goal)).select("doc_id", "source", token_count(F.col("text"), tokenizer).alias("tokens")).where("tokens > 0")
+    counted = spread(documents.select("doc_id", spelling("source").alias("source"), "text").where(F.col("doc_id").isNotNull() & F.col("source").isin(*goal))).select("doc_id", "source", token_count(F.col("text"), tokenizer).alias("tokens")).where("tokens > 0")
     counted = checkpointed(counted)
     ordered = running(counted, ["source"], ["doc_id"], F.col("tokens"), seed).withColumn("block", F.floor(F.col("_before") / block_tokens)).drop("_rank", "_before")
     sums = {r.source: r for r in ordered.groupBy("source").agg(F.max("block").alias("b"), F.sum("tokens").alias("t")).collect()}  # a row per target

@@ -22,6 +22,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from veldspar.session import spread
+
 KINDS = ("email", "phone", "national_id", "address", "name")
 THRESHOLD = 1.0
 #: Characters around a span in which words count.
@@ -286,7 +288,7 @@ def redacted(documents: DataFrame, text: str = "text") -> DataFrame:
         return pd.DataFrame(rows, columns=["text", "places"])
 
     keep = [c for c in documents.columns if c not in (text, "places", "_pii")]
-    return documents.select(*keep, work(F.col(text)).alias("_pii")).select(*keep, F.col("_pii.text").alias(text), F.col("_pii.places").alias("places"))
+    return spread(documents.select(*keep, text)).select(*keep, work(F.col(text)).alias("_pii")).select(*keep, F.col("_pii.text").alias(text), F.col("_pii.places").alias("places"))
 
 
 def places(found: DataFrame, key: str = "doc_id") -> DataFrame:
