@@ -75,3 +75,23 @@ def test_empty(spark):
     e = spark.createDataFrame([], SCHEMA)
     assert hi.find_cycles(e).count() == 0
     assert hi.hierarchy(e).count() == 0
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_all_descendants_match_brute_force(spark, seed):
+    links = [*random_links(seed), ("000", "03a"), ("02a", "03a"), ("03a", "03b"), ("03b", "03a"), ("03b", "03c"), ("03c", "03c")]
+    rows = [("contains", f" {a.upper()}\t", b, "r") if i % 2 else ("BELONGS_TO", b, a, "r") for i, (a, b) in enumerate(links)]
+    got = {(r.ancestor_id, r.node_id): r.distance for r in hi.all_descendants(spark.createDataFrame(rows + rows[:5], SCHEMA)).collect()}
+    out = {}
+    for a, b in links:
+        out.setdefault(a, set()).add(b)
+    want = {}
+    for a in out:
+        front, d = {a}, 0
+        seen = {a}
+        while front:
+            d += 1
+            front = {y for x in front for y in out.get(x, ())} - seen
+            seen |= front
+            want.update({(a, y): d for y in front})
+    assert got == want and set(got) == {(a, b) for a, bs in reach(links).items() for b in bs if a != b}

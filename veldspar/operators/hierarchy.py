@@ -393,3 +393,26 @@ def descendants(tree: DataFrame) -> DataFrame:
         .where(F.col("_at") < F.col("_n") - 1)
         .select("ancestor_id", "node_id", (F.col("_n") - 1 - F.col("_at")).cast("long").alias("distance"))
     )
+
+
+def all_descendants(edges: DataFrame, types: dict[str, bool] | None = None) -> DataFrame:
+    """(ancestor_id, node_id, distance): every node that another reaches from parent to child.
+
+    Over all links, those of several parents and of cycles too. ``distance`` is
+    the least number of links. That a node on a cycle reaches itself is left to
+    :func:`find_cycles`.
+
+    A round doubles the distance: a pair beyond 2^k has a node at 2^k links from
+    its ancestor, so the pairs at 2^k are joined with all that are known.
+    """
+    found = checkpointed(parent_links(edges, types).select(F.col("parent").alias("ancestor_id"), F.col("child").alias("node_id"), F.lit(1).cast("long").alias("distance")).where("ancestor_id <> node_id"))
+    reach = 1
+    while True:
+        far = found.where(F.col("distance") == reach).withColumnRenamed("node_id", "_via").withColumnRenamed("distance", "_up")
+        near = found.withColumnRenamed("ancestor_id", "_via")
+        grown = far.join(near, "_via").where("ancestor_id <> node_id").groupBy("ancestor_id", "node_id").agg(F.min(F.col("_up") + F.col("distance")).alias("distance"))
+        new = checkpointed(grown.join(found.select("ancestor_id", "node_id"), ["ancestor_id", "node_id"], "left_anti"))
+        if new.isEmpty():
+            return found
+        found = found.unionByName(new)
+        reach *= 2

@@ -29,9 +29,15 @@ def p2_hierarchy(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p2_descendants(spark: SparkSession, d: str) -> DataFrame:
+    """Descendants in the trees of p2_hierarchy, through the least parent of each node."""
     return hi.descendants(hi.hierarchy(table(spark, d, "edges")))
 
 
+def p2_all_descendants(spark: SparkSession, d: str) -> DataFrame:
+    """Descendants over all links, through every parent and through cycles."""
+    return hi.all_descendants(table(spark, d, "edges"))
+
+
 def _dangling(spark: SparkSession, d: str) -> DataFrame:
     return rf.dangling(table(spark, d, "edges"), table(spark, d, "refs"), table(spark, d, "nodes"), table(spark, d, "shared_nodes"), table(spark, d, "removed_nodes"))
 
@@ -82,7 +88,7 @@ def p6_caller_stats(spark: SparkSession, d: str) -> DataFrame:
     return skew.balanced_key_stats(_caller_rows(spark, d), "node_id", "caller").select("node_id", "n_rows", "n_members")
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_hierarchy, p2_descendants, p3_found, p3_report, p3_current, p6_found, p6_key_stats, p6_caller_stats)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_hierarchy, p2_descendants, p2_all_descendants, p3_found, p3_report, p3_current, p6_found, p6_key_stats, p6_caller_stats)}
 
 _WS = "' ' || chr(9) || chr(10) || chr(13)"
 
@@ -131,6 +137,10 @@ one as (select c, min(p) p from links group by 1),
 up as (select c node, p anc, 1 d from one union all select up.node, one.p, up.d + 1 from up join one on one.c = up.anc where up.d < 400 and one.p <> up.node and up.anc <> up.node),
 top as (select node, anc root_id, d depth from up where anc not in (select c from one) union all select distinct p, p, 0 from links where p not in (select c from one))"""
 ORACLES["p2_descendants"] = _UP + " select up.anc as ancestor_id, up.node as node_id, cast(up.d as bigint) as distance from up where up.node in (select node from top)"
+ORACLES["p2_all_descendants"] = f"""with recursive {_LINKS},
+down(anc, node, d) using key (anc, node) as (select p, c, 1 from links union select down.anc, l.c, down.d + 1 from down join links l on l.p = down.node
+  where not exists (select 1 from recurring.down r where r.anc = down.anc and r.node = l.c))
+select anc as ancestor_id, node as node_id, cast(d as bigint) as distance from down where anc <> node"""
 # reaches[v] by recursion with a set: the pairs (v, what v reaches) of the nodes that lie on some closed walk
 ORACLES["p2_found"] = f"""with recursive {_LINKS},
 core as (select c node from links intersect select p from links),
