@@ -96,15 +96,26 @@ def g_bfs_forward(spark, d):
 _SURE = f"sure as materialized (select distinct {sql_id('src')} src, {sql_id('dst')} dst from edges where upper(trim(type)) in ('CALLS', 'IMPORTS', 'EXTENDS', 'INSTANTIATES') and coalesce(confidence, '') <> 'AMBIGUOUS' and {sql_id('src')} is not null and {sql_id('dst')} is not null)"
 
 
+def _sure_edges(spark, d):
+    e = table(spark, d, "edges").where(F.upper(trimmed("type")).isin("CALLS", "IMPORTS", "EXTENDS", "INSTANTIATES") & (F.coalesce("confidence", F.lit("")) != "AMBIGUOUS"))
+    return checkpointed(graph.pairs(e.select(norm_id("src").alias("src"), norm_id("dst").alias("dst"))))
+
+
 @query(f"with recursive {_SURE}, few as (select dst from sure group by 1 having count(*) between 3 and 4), w(origin, node, d) as (select dst, dst, 0 from few union select origin, s.src, d + 1 from w join sure s on s.dst = w.node where d < 2) select origin, node, min(d) as hops from w where node <> origin group by 1, 2")
 def g_reverse_dependents(spark, d):
     """Dependents within two hops, over certain edges, of the nodes with three or four of them."""
-    e = table(spark, d, "edges").where(F.upper(trimmed("type")).isin("CALLS", "IMPORTS", "EXTENDS", "INSTANTIATES") & (F.coalesce("confidence", F.lit("")) != "AMBIGUOUS"))
-    e = checkpointed(graph.pairs(e.select(norm_id("src").alias("src"), norm_id("dst").alias("dst"))))
+    e = _sure_edges(spark, d)
     few = e.groupBy("dst").agg(F.count(F.lit(1)).alias("n")).where("n between 3 and 4").select(F.col("dst").alias("origin"))
     return graph.distances(e, few, 2, reverse=True).where("hops > 0").select("origin", "node", "hops")
 
 
+@query(f"with recursive {_SURE}, w(origin, node, d) as (select dst, dst, 0 from sure union select origin, s.src, d + 1 from w join sure s on s.dst = w.node where d < 2) select origin, node, min(d) as hops from w where node <> origin group by 1, 2")
+def g_reverse_dependents_all(spark, d):
+    """Dependents within two hops, over certain edges, of every node that has any, hot ones too."""
+    e = _sure_edges(spark, d)
+    return graph.distances(e, e.select(F.col("dst").alias("origin")).distinct(), 2, reverse=True).where("hops > 0").select("origin", "node", "hops")
+
+
 @query(f"with recursive {TRADE}, w(node, d) as (select 0, 0 union select t.src, d + 1 from w join trade t on t.dst = w.node where d < 25) select node, min(d) + 1 as n_nodes from w group by 1")
 def g_shortest_path(spark, d):
     """Length of a shortest path on which a nation reaches nation 0."""
