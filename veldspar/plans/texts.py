@@ -332,6 +332,20 @@ def j_endpoint_match(spark, d):
     return x.join(y, ["repo", "n"]).where(same).groupBy("repo", F.array_join("a", "/").alias("path")).agg(_N().alias("n_like"))
 
 
+@query("with f as (select distinct repo, string_split(relpath, '/') s from files), p as (select repo, s, len(s) n from f) select x.repo, array_to_string(x.s, '/') as path, count(*) as n_like from p x join p y on x.repo = y.repo and x.n = y.n and list_has_all([true], list_transform(list_zip(x.s[1:x.n - 1], y.s[1:y.n - 1]), lambda z: z[1] = z[2])) group by 1, 2")
+def j_endpoint_match_all(spark, d):
+    """Paths of any length against the patterns of as many segments whose last one is a wildcard.
+
+    A pattern is the path's prefix, so patterns are counted per prefix and no
+    pairs of paths are made.
+    """
+    p = table(spark, d, "files").where("repo is not null and relpath is not null").select("repo", F.col("relpath").alias("path")).distinct()
+    s = F.split("path", "/")
+    p = p.select("repo", "path", F.size(s).alias("n"), F.array_join(F.slice(s, 1, F.size(s) - 1), "/").alias("prefix"))
+    like = p.groupBy("repo", "n", "prefix").agg(_N().alias("n_like"))
+    return p.join(like, ["repo", "n", "prefix"]).select("repo", "path", "n_like")
+
+
 @query("with e as (select regexp_replace(lower(event_type), '[^a-z]+', '.', 'g') k, event_type, event_id, value from events), dim as (select k, min_by(event_type, event_id) as display from e group by 1) select k as event_key, display, count(*) as n, round(sum(value), 4) as total from e join dim using (k) group by 1, 2")
 def j_dimension(spark, d):
     """Events with their dimension: the key, and the first spelling as display."""
