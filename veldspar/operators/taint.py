@@ -33,26 +33,27 @@ def receiver(dotted: Column) -> Column:
 
 
 def taint_paths(facts: DataFrame, max_hops: int = 6) -> DataFrame:
-    """(source, param, sink, sink_class, line, path, hops): parameters that reach a sink.
+    """(repo, source, param, sink, sink_class, line, path, hops): parameters that reach a sink.
 
     ``facts`` is what :mod:`veldspar.operators.extract` gives. Sources are
     endpoints and event consumers. A callee is followed only if one function
-    bears its name; a path does not enter a function twice; the number of
+    of its repository bears its name; a path does not enter a function twice; the number of
     hops is bounded, since paths are not.
     """
-    f = facts.where("fact = 'flow' and type = 'PASSES'").select(F.col("src").alias("fn"), "name", receiver(F.col("fqn")).alias("recv"), F.col("value").alias("slot"), "line", F.explode("args").alias("p"))
-    flows = checkpointed(f.select("fn", "name", "recv", "slot", "line", F.col("p").cast("int").alias("p"), sink_class(F.col("name"), F.col("recv")).alias("sink_class")))
-    defs = facts.where("fact = 'node' and type = 'Function'").groupBy("name").agg(F.count(F.lit(1)).alias("n"), F.max("fqn").alias("callee"), F.max_by("args", "fqn").alias("params")).where("n = 1").drop("n")
-    sources = facts.where("(fact = 'edge' and type = 'EXPOSES') or (fact = 'ref' and type = 'CONSUMES_EVENT')").select(F.col("src").alias("fqn")).distinct()
-    starts = facts.where("fact = 'node' and type = 'Function'").join(sources, "fqn", "left_semi").select("fqn", F.posexplode("args").alias("p", "param"))
-    front = checkpointed(starts.select(F.col("fqn").alias("source"), "param", F.col("fqn").alias("fn"), "p", F.array("fqn").alias("path")))
+    facts = checkpointed(facts.where("(fact = 'flow' and type = 'PASSES') or (fact = 'node' and type = 'Function') or (fact = 'edge' and type = 'EXPOSES') or (fact = 'ref' and type = 'CONSUMES_EVENT')").drop("relpath", "end_line", "arity"))
+    f = facts.where("fact = 'flow' and type = 'PASSES'").select("repo", F.col("src").alias("fn"), "name", receiver(F.col("fqn")).alias("recv"), F.col("value").alias("slot"), "line", F.explode("args").alias("p"))
+    flows = checkpointed(f.select("repo", "fn", "name", "recv", "slot", "line", F.col("p").cast("int").alias("p"), sink_class(F.col("name"), F.col("recv")).alias("sink_class")))
+    defs = facts.where("fact = 'node' and type = 'Function'").groupBy("repo", "name").agg(F.count(F.lit(1)).alias("n"), F.max("fqn").alias("callee"), F.max_by("args", "fqn").alias("params")).where("n = 1").drop("n")
+    sources = facts.where("(fact = 'edge' and type = 'EXPOSES') or (fact = 'ref' and type = 'CONSUMES_EVENT')").select("repo", F.col("src").alias("fqn")).distinct()
+    starts = facts.where("fact = 'node' and type = 'Function'").join(sources, ["repo", "fqn"], "left_semi").select("repo", "fqn", F.posexplode("args").alias("p", "param"))
+    front = checkpointed(starts.select("repo", F.col("fqn").alias("source"), "param", F.col("fqn").alias("fn"), "p", F.array("fqn").alias("path")))
     out = None
     for hop in range(1, max_hops + 1):
-        step = checkpointed(front.join(flows, ["fn", "p"]))
-        hits = step.where("sink_class is not null").select("source", "param", F.col("name").alias("sink"), "sink_class", "line", F.array_join("path", " > ").alias("path"), F.lit(hop).alias("hops"))
+        step = checkpointed(front.join(flows, ["repo", "fn", "p"]))
+        hits = step.where("sink_class is not null").select("repo", "source", "param", F.col("name").alias("sink"), "sink_class", "line", F.array_join("path", " > ").alias("path"), F.lit(hop).alias("hops"))
         out = hits if out is None else out.unionByName(hits)
         at = F.when(F.col("slot").rlike("^[0-9]+$"), F.col("slot").cast("int")).otherwise(F.array_position("params", F.col("slot")).cast("int") - 1)
-        front = step.where("sink_class is null").join(defs, "name").where(~F.array_contains("path", F.col("callee"))).select("source", "param", F.col("callee").alias("fn"), at.alias("p"), F.concat("path", F.array("callee")).alias("path")).where("p >= 0").distinct()
+        front = step.where("sink_class is null").join(defs, ["repo", "name"]).where(~F.array_contains("path", F.col("callee"))).select("repo", "source", "param", F.col("callee").alias("fn"), at.alias("p"), F.concat("path", F.array("callee")).alias("path")).where("p >= 0").distinct()
         if front.isEmpty():
             break
         front = checkpointed(front)

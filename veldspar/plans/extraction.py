@@ -1,6 +1,8 @@
 """Extraction from source text: facts of a small corpus of our own, and of all files.
 
-The corpus is fixed, so the oracles are the facts it must give.
+The corpus is fixed, so the oracles are the facts it must give. Each query runs
+on it under its own name, and as ``*_all``, without SQL, on the current
+version of every Python file of the data folder.
 """
 
 from __future__ import annotations
@@ -9,6 +11,7 @@ from pyspark.sql import functions as F
 
 from veldspar.operators import extract, taint
 from veldspar.plans.register import Book
+from veldspar.session import checkpointed
 from veldspar.sources.tables import table
 
 query = Book()
@@ -86,6 +89,36 @@ def _facts(spark):
     return extract.extract_python(spark.createDataFrame([("own", p, t) for p, t in CORPUS.items()], "repo string, relpath string, text string"))
 
 
+def _current_facts(spark, d):
+    """Facts of the latest version of every Python file; a null repository is ''."""
+    f = table(spark, d, "files").where("relpath rlike '[.]pyi?$'")
+    current = f.groupBy(F.coalesce("repo", F.lit("")).alias("repo"), "relpath").agg(F.max_by("text", F.struct("last_indexed", "text")).alias("text"))
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return extract.extract_python(current.repartition(n, "repo", "relpath"))
+
+
+_FILE = ("repo", "relpath")
+
+
+def facts_query(sql):
+    """Registers a function of facts and key columns twice: over the corpus, and over all files."""
+
+    def add(f):
+        def own(spark, d):
+            return f(_facts(spark))
+
+        def whole(spark, d):
+            return f(_current_facts(spark, d), *_FILE)
+
+        own.__name__, whole.__name__ = f.__name__, f"{f.__name__}_all"
+        own.__doc__ = whole.__doc__ = f.__doc__
+        query(sql)(own)
+        query()(whole)
+        return f
+
+    return add
+
+
 def _values(columns: str, *rows: tuple) -> str:
     def lit(v):
         return "null" if v is None else str(v) if isinstance(v, int) else "'" + v.replace("'", "''") + "'"
@@ -97,7 +130,7 @@ def _args():
     return F.array_join("args", ",").alias("args")
 
 
-@query(
+@facts_query(
     _values(
         "type, fqn, line",
         ("File", "shop.orders", 1), ("Field", "shop.orders.CACHE", None), ("Field", "shop.orders.LIMIT", None), ("Class", "shop.orders.Order", 11), ("Field", "shop.orders.Order.table", 13), ("Field", "shop.orders.Order.lock", 16), ("Field", "shop.orders.Order.store", 17), ("Field", "shop.orders.Order.total", 18),
@@ -105,39 +138,39 @@ def _args():
         ("File", "shop.db", 1), ("Function", "shop.db.run_query", 1), ("Function", "shop.db.fetch", 6),
     )
 )
-def x_python(spark, d):
+def x_python(f, *k):
     """Nodes of the corpus."""
-    return _facts(spark).where("fact = 'node'").select("type", "fqn", "line")
+    return f.where("fact = 'node'").select(*k, "type", "fqn", "line")
 
 
-@query(_values("fqn, cyclomatic, counts", ("shop.orders.Order.__init__", 1, "0,0,4"), ("shop.orders.Order.add", 2, "1,0,7"), ("shop.orders.read_order", 3, "1,1,14"), ("shop.orders.hook", 1, "0,0,4"), ("shop.orders.hook.inner", 1, "0,0,2"), ("shop.db.run_query", 1, "0,0,3"), ("shop.db.fetch", 1, "0,0,4")))
-def x_metrics(spark, d):
+@facts_query(_values("fqn, cyclomatic, counts", ("shop.orders.Order.__init__", 1, "0,0,4"), ("shop.orders.Order.add", 2, "1,0,7"), ("shop.orders.read_order", 3, "1,1,14"), ("shop.orders.hook", 1, "0,0,4"), ("shop.orders.hook.inner", 1, "0,0,2"), ("shop.db.run_query", 1, "0,0,3"), ("shop.db.fetch", 1, "0,0,4")))
+def x_metrics(f, *k):
     """Cyclomatic number, and branches, loops and lines, per function."""
-    return _facts(spark).where("fact = 'metric'").select(F.col("src").alias("fqn"), F.col("arity").alias("cyclomatic"), F.array_join("args", ",").alias("counts"))
+    return f.where("fact = 'metric'").select(*k, F.col("src").alias("fqn"), F.col("arity").alias("cyclomatic"), F.array_join("args", ",").alias("counts"))
 
 
-def _refs(spark, *types):
-    return _facts(spark).where(F.col("type").isin(*types) & F.col("fact").isin("ref", "edge"))
+def _refs(f, *types):
+    return f.where(F.col("type").isin(*types) & F.col("fact").isin("ref", "edge"))
 
 
-@query(_values("src, name", ("shop.orders.read_order", "GET /orders/{id}"), ("shop.orders.hook", "POST /hook"), ("shop.orders.hook", "PUT /hook")))
-def x_endpoints(spark, d):
-    return _refs(spark, "EXPOSES").select("src", "name")
+@facts_query(_values("src, name", ("shop.orders.read_order", "GET /orders/{id}"), ("shop.orders.hook", "POST /hook"), ("shop.orders.hook", "PUT /hook")))
+def x_endpoints(f, *k):
+    return _refs(f, "EXPOSES").select(*k, "src", "name")
 
 
-@query(_values("src, name, value", ("shop.orders.read_order", "https://api.example.test/v1", "POST")))
-def x_outbound_http(spark, d):
-    return _refs(spark, "CALLS_API").select("src", "name", "value")
+@facts_query(_values("src, name, value", ("shop.orders.read_order", "https://api.example.test/v1", "POST")))
+def x_outbound_http(f, *k):
+    return _refs(f, "CALLS_API").select(*k, "src", "name", "value")
 
 
-@query(_values("type, src, name, value", ("EMITS_EVENT", "shop.orders.read_order", "order.placed", "sure"), ("EMITS_EVENT", "shop.orders.read_order", "hello", "fuzzy"), ("CONSUMES_EVENT", "shop.orders.hook", "order.placed", "sure")))
-def x_events(spark, d):
-    return _refs(spark, "EMITS_EVENT", "CONSUMES_EVENT").select("type", "src", "name", "value")
+@facts_query(_values("type, src, name, value", ("EMITS_EVENT", "shop.orders.read_order", "order.placed", "sure"), ("EMITS_EVENT", "shop.orders.read_order", "hello", "fuzzy"), ("CONSUMES_EVENT", "shop.orders.hook", "order.placed", "sure")))
+def x_events(f, *k):
+    return _refs(f, "EMITS_EVENT", "CONSUMES_EVENT").select(*k, "type", "src", "name", "value")
 
 
-@query(_values("src, name, value", ("shop.orders.read_order", "AUTH_REQUIRED", "sure")))
-def x_auth(spark, d):
-    return _refs(spark, "REQUIRES_AUTH").select("src", "name", "value")
+@facts_query(_values("src, name, value", ("shop.orders.read_order", "AUTH_REQUIRED", "sure")))
+def x_auth(f, *k):
+    return _refs(f, "REQUIRES_AUTH").select(*k, "src", "name", "value")
 
 
 @query(
@@ -147,49 +180,49 @@ def x_auth(spark, d):
 )
 def x_field_state(spark, d):
     """Fields of the class that its methods read and write."""
-    r = _refs(spark, "READS", "WRITES").where("name like 'shop.orders.Order.%'")
+    r = _refs(_facts(spark), "READS", "WRITES").where("name like 'shop.orders.Order.%'")
     return r.select("type", F.element_at(F.split("src", r"\."), -1).alias("src"), F.replace("name", F.lit("shop.orders."), F.lit("")).alias("name"))
 
 
 @query(_values("type, src, name", ("READS", "shop.orders.Order.add", "shop.orders.LIMIT"), ("READS", "shop.orders.read_order", "shop.orders.CACHE"), ("WRITES", "shop.orders.read_order", "shop.orders.CACHE")))
 def x_global_state(spark, d):
-    return _refs(spark, "READS", "WRITES").where("name not like 'shop.orders.Order.%'").select("type", "src", "name")
+    return _refs(_facts(spark), "READS", "WRITES").where("name not like 'shop.orders.Order.%'").select("type", "src", "name")
 
 
-@query(_values("fqn", ("shop.orders.Order.lock",)))
-def x_locks(spark, d):
-    return _facts(spark).where("type = 'Field' and value = 'lock'").select("fqn")
+@facts_query(_values("fqn", ("shop.orders.Order.lock",)))
+def x_locks(f, *k):
+    return f.where("type = 'Field' and value = 'lock'").select(*k, "fqn")
 
 
-@query(_values("type, src, name", ("THROWS", "shop.orders.Order.add", "ValueError"), ("CATCHES", "shop.orders.read_order", "KeyError"), ("CATCHES", "shop.orders.read_order", "ValueError")))
-def x_exceptions(spark, d):
-    return _refs(spark, "THROWS", "CATCHES").select("type", "src", "name")
+@facts_query(_values("type, src, name", ("THROWS", "shop.orders.Order.add", "ValueError"), ("CATCHES", "shop.orders.read_order", "KeyError"), ("CATCHES", "shop.orders.read_order", "ValueError")))
+def x_exceptions(f, *k):
+    return _refs(f, "THROWS", "CATCHES").select(*k, "type", "src", "name")
 
 
-@query(_values("type, src, name", ("PARAM_TYPE", "shop.orders.Order.__init__", "Store"), ("PARAM_TYPE", "shop.orders.Order.__init__", "Optional"), ("HAS_GENERIC", "shop.orders.Order.__init__", "str"), ("PARAM_TYPE", "shop.orders.read_order", "int"), ("RETURN_TYPE", "shop.orders.read_order", "dict")))
-def x_types(spark, d):
-    return _refs(spark, "PARAM_TYPE", "RETURN_TYPE", "HAS_GENERIC").select("type", "src", "name")
+@facts_query(_values("type, src, name", ("PARAM_TYPE", "shop.orders.Order.__init__", "Store"), ("PARAM_TYPE", "shop.orders.Order.__init__", "Optional"), ("HAS_GENERIC", "shop.orders.Order.__init__", "str"), ("PARAM_TYPE", "shop.orders.read_order", "int"), ("RETURN_TYPE", "shop.orders.read_order", "dict")))
+def x_types(f, *k):
+    return _refs(f, "PARAM_TYPE", "RETURN_TYPE", "HAS_GENERIC").select(*k, "type", "src", "name")
 
 
-@query(_values("fqn, arity, args", ("shop.orders.Order.__init__", 4, "store,*items,note,**extra"), ("shop.orders.Order.add", 2, "item,price"), ("shop.orders.read_order", 1, "order_id"), ("shop.orders.hook", 1, "request"), ("shop.orders.hook.inner", 1, "x"), ("shop.db.run_query", 2, "key,limit"), ("shop.db.fetch", 2, "n,sql")))
-def x_params(spark, d):
-    return _facts(spark).where("fact = 'node' and type = 'Function'").select("fqn", "arity", _args())
+@facts_query(_values("fqn, arity, args", ("shop.orders.Order.__init__", 4, "store,*items,note,**extra"), ("shop.orders.Order.add", 2, "item,price"), ("shop.orders.read_order", 1, "order_id"), ("shop.orders.hook", 1, "request"), ("shop.orders.hook.inner", 1, "x"), ("shop.db.run_query", 2, "key,limit"), ("shop.db.fetch", 2, "n,sql")))
+def x_params(f, *k):
+    return f.where("fact = 'node' and type = 'Function'").select(*k, "fqn", "arity", _args())
 
 
-@query(_values("name, value, arity", ("find", "Store", -1)))
-def x_receivers(spark, d):
+@facts_query(_values("name, value, arity", ("find", "Store", -1)))
+def x_receivers(f, *k):
     """Calls on a receiver whose class is known, with their arity (-1: unknown)."""
-    return _refs(spark, "CALLS").where("value is not null").select("name", "value", "arity")
+    return _refs(f, "CALLS").where("value is not null").select(*k, "name", "value", "arity")
 
 
-@query(_values("name, fqn, value", ("json", "json", None), ("path", "os.path", "osp"), ("Store", ".db.Store", None), ("open_db", ".db.open_db", "connect"), ("Session", "requests.Session", None)))
-def x_imports(spark, d):
-    return _refs(spark, "IMPORTS").select("name", "fqn", "value")
+@facts_query(_values("name, fqn, value", ("json", "json", None), ("path", "os.path", "osp"), ("Store", ".db.Store", None), ("open_db", ".db.open_db", "connect"), ("Session", "requests.Session", None)))
+def x_imports(f, *k):
+    return _refs(f, "IMPORTS").select(*k, "name", "fqn", "value")
 
 
-@query(_values("src, name", ("shop.orders.Order", "Base"), ("shop.orders.Order", "Audit")))
-def x_extends(spark, d):
-    return _refs(spark, "EXTENDS").select("src", "name")
+@facts_query(_values("src, name", ("shop.orders.Order", "Base"), ("shop.orders.Order", "Audit")))
+def x_extends(f, *k):
+    return _refs(f, "EXTENDS").select(*k, "src", "name")
 
 
 @query(
@@ -204,30 +237,30 @@ def x_dataflow(spark, d):
     return _facts(spark).where("fact = 'flow' and src like 'shop.db.%'").select("type", "src", "name", F.col("value").alias("slot"), _args())
 
 
-@query(_values("relpath, line", ("shop/broken.py", 1)))
-def x_syntax_gate(spark, d):
-    return _facts(spark).where("fact = 'error'").select("relpath", "line")
+@facts_query(_values("relpath, line", ("shop/broken.py", 1)))
+def x_syntax_gate(f, *k):
+    return f.where("fact = 'error'").select(*k[:1], "relpath", "line")
 
 
-@query(_values("source, param, sink, sink_class, path, hops", ("shop.orders.read_order", "order_id", "execute", "sql_injection", "shop.orders.read_order > shop.db.run_query > shop.db.fetch", 3)))
-def g_taint(spark, d):
+@facts_query(_values("source, param, sink, sink_class, path, hops", ("shop.orders.read_order", "order_id", "execute", "sql_injection", "shop.orders.read_order > shop.db.run_query > shop.db.fetch", 3)))
+def g_taint(f, *k):
     """Parameters of endpoints that reach a sink."""
-    return taint.taint_paths(_facts(spark)).select("source", "param", "sink", "sink_class", "path", "hops")
+    return taint.taint_paths(f).select(*k[:1], "source", "param", "sink", "sink_class", "path", "hops")
 
 
-@query(_values("src, name, sink_class", ("shop.db.fetch", "execute", "sql_injection"), ("shop.db.fetch", "system", "command_injection")))
-def p_sink_classify(spark, d):
-    c = _refs(spark, "CALLS").select("src", "name", taint.sink_class(F.col("name"), taint.receiver(F.col("fqn"))).alias("sink_class"))
+@facts_query(_values("src, name, sink_class", ("shop.db.fetch", "execute", "sql_injection"), ("shop.db.fetch", "system", "command_injection")))
+def p_sink_classify(f, *k):
+    c = _refs(f, "CALLS").select(*k, "src", "name", taint.sink_class(F.col("name"), taint.receiver(F.col("fqn"))).alias("sink_class"))
     return c.where("sink_class is not null")
 
 
-@query(_values("src, callee, slot, callee_param", ("shop.orders.read_order", "shop.db.run_query", "0", "key"), ("shop.db.run_query", "shop.db.fetch", "sql", "sql"), ("shop.db.run_query", "shop.db.fetch", "n", "n"), ("shop.orders.hook", "shop.orders.hook.inner", "0", "x")))
-def j_arg_binding(spark, d):
+@facts_query(_values("src, callee, slot, callee_param", ("shop.orders.read_order", "shop.db.run_query", "0", "key"), ("shop.db.run_query", "shop.db.fetch", "sql", "sql"), ("shop.db.run_query", "shop.db.fetch", "n", "n"), ("shop.orders.hook", "shop.orders.hook.inner", "0", "x")))
+def j_arg_binding(f, *k):
     """Arguments bound to the parameters of the one function of that name."""
-    f = _facts(spark)
-    defs = f.where("fact = 'node' and type = 'Function'").groupBy("name").agg(F.count(F.lit(1)).alias("n"), F.max("fqn").alias("callee"), F.max_by("args", "fqn").alias("params")).where("n = 1")
-    p = f.where("fact = 'flow' and type = 'PASSES'").select("src", "name", F.col("value").alias("slot"))
-    return p.join(defs, "name").select("src", "callee", "slot", F.when(F.col("slot").rlike("^[0-9]+$"), F.get("params", F.col("slot").cast("int"))).otherwise(F.col("slot")).alias("callee_param"))
+    f = checkpointed(f.where("(fact = 'node' and type = 'Function') or (fact = 'flow' and type = 'PASSES')"))
+    defs = f.where("fact = 'node' and type = 'Function'").groupBy(*k[:1], "name").agg(F.count(F.lit(1)).alias("n"), F.max("fqn").alias("callee"), F.max_by("args", "fqn").alias("params")).where("n = 1")
+    p = f.where("fact = 'flow' and type = 'PASSES'").select(*k, "src", "name", F.col("value").alias("slot"))
+    return p.join(defs, [*k[:1], "name"]).select(*k, "src", "callee", "slot", F.when(F.col("slot").rlike("^[0-9]+$"), F.get("params", F.col("slot").cast("int"))).otherwise(F.col("slot")).alias("callee_param"))
 
 
 @query()
@@ -237,3 +270,28 @@ def x_python_files(spark, d):
     last = f.groupBy("repo", "relpath").agg(F.max("last_indexed").alias("last_indexed"))
     current = f.join(last, ["repo", "relpath", "last_indexed"], "left_semi").dropDuplicates(["repo", "relpath"])
     return extract.extract_python(current).groupBy("repo", "fact", "type").agg(F.count(F.lit(1)).alias("n"))
+
+
+def _state(spark, d, how):
+    """Fields and globals that functions read and write; a field's owner is a class of the same file."""
+    f = checkpointed(_current_facts(spark, d).where("type in ('READS', 'WRITES') or (fact = 'node' and type = 'Class')"))
+    classes = f.where("fact = 'node'").select(*_FILE, F.col("fqn").alias("owner")).distinct()
+    r = _refs(f, "READS", "WRITES").withColumn("owner", F.regexp_extract("name", r"^(.*)\.[^.]*$", 1))
+    return r.join(classes, [*_FILE, "owner"], how).select(*_FILE, "type", "src", "name")
+
+
+@query()
+def x_field_state_all(spark, d):
+    """Fields of classes that their methods read and write."""
+    return _state(spark, d, "left_semi")
+
+
+@query()
+def x_global_state_all(spark, d):
+    return _state(spark, d, "left_anti")
+
+
+@query()
+def x_dataflow_all(spark, d):
+    """Which parameters reach which arguments and results, in every function."""
+    return _current_facts(spark, d).where("fact = 'flow'").select(*_FILE, "type", "src", "name", F.col("value").alias("slot"), _args())
