@@ -58,3 +58,12 @@ def test_state_and_flow_of_a_table(spark, corpus):
     assert sorted((t, s.rpartition(".")[2], n.removeprefix("shop.orders.")) for t, s, n in run("x_field_state")) == sorted(map(tuple, extraction.QUERIES["x_field_state"](spark, corpus).collect()))
     own = set(map(tuple, extraction.QUERIES["x_dataflow"](spark, corpus).collect()))
     assert own < set(run("x_dataflow")) and any(src.startswith("shop.orders.") for _, src, *_ in run("x_dataflow"))
+
+
+def test_components_over_all_linking_edges(spark, tmp_path):
+    edges = [("CALLS", "a", "b"), ("INSTANTIATES", "b", "c"), ("extends ", "D ", "c"), ("OVERRIDES", "e", "d"), ("IMPORTS", "e", "x"), ("CALLS", "p", "q"), ("CALLS", "p", "p")]
+    edges += [("EXTENDS", "sub", "sup"), ("CONTAINS", "sub", "m1"), ("DEFINES", "sup", "m2"), ("CALLS", "m1", "far")]
+    put(spark, tmp_path, "edges", [(*e, None) for e in edges], EDGE)
+    nodes = [(i, "run", "Function", 1, 1, dt.datetime(2024, 1, 1)) for i in ("m1", "m2")]
+    d = put(spark, tmp_path, "nodes", nodes, "id string, name string, label string, param_count int, ord int, last_indexed timestamp_ntz")
+    assert {(r.component, r.n_nodes) for r in graphs.g_components(spark, d).collect()} == {("a", 5), ("p", 2), ("sub", 2), ("far", 3)}

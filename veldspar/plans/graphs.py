@@ -188,8 +188,12 @@ def g_import_cycles(spark, d):
 
 @query()
 def g_components(spark, d):
-    """Connected components of the instantiation graph, with their sizes."""
-    return graph.components(calls(spark, d, "INSTANTIATES")).groupBy("component").agg(F.count(F.lit(1)).alias("n_nodes"))
+    """Connected components over calls, instantiations, inheritance and overrides, with their sizes.
+
+    Overrides are those stated as edges and those that j_overrides derives.
+    """
+    derived = j_overrides(spark, d).select(F.col("sub_method").alias("src"), F.col("super_method").alias("dst"))
+    return graph.components(calls(spark, d, "CALLS", "INSTANTIATES", "EXTENDS", "INHERITS", "OVERRIDES").unionByName(derived)).groupBy("component").agg(F.count(F.lit(1)).alias("n_nodes"))
 
 
 @query(f"with recursive {TRADE}, s as (select src a, dst b from trade union select dst, src from trade), w(node, c) as (select distinct a, a from s union select s.b, w.c from w join s on s.a = w.node) select node, min(c) as component from w group by 1")
