@@ -113,3 +113,22 @@ def test_current_version_and_long_files(spark):
     rate = {(r.repo, r.lang): (r.n_files, r.n_invalid) for r in syntax.invalid_rates(syntax.verdicts(df)).collect()}
     assert rate[("r", "java")] == (3, 1)
     assert syntax.verdicts(df.limit(0)).count() == 0
+
+
+N = 1500
+CHAIN = " else ".join("if (x) { y(); }" for _ in range(N)) + " else { z(); }"
+
+
+@pytest.mark.parametrize(
+    ("lang", "text"),
+    [("javascript", CHAIN), ("typescript", CHAIN), ("java", f"class A {{ void f() {{ {CHAIN} }} }}"), ("javascript", "x = " + "[" * N + "]" * N + ";"), ("typescript", "f(" * N + ")" * N + ";"), ("java", "class A { int x = " + "(" * N + "1" + ")" * N + "; }"), ("java", "class A { void f() { " + "{" * N + "}" * N + " } }")],
+)
+def test_nesting_has_no_bound(lang, text):
+    assert syntax.valid(lang, text)
+    assert not syntax.valid(lang, text.replace("x", "x x", 1) if "x" in text else text[:-2] + ";")
+
+
+def test_else_without_an_if_stays_invalid():
+    assert not syntax.valid("javascript", "if (x) y(); else z(); else if (a) b();")
+    assert not syntax.valid("java", "class A { void f() { if (x) y(); else z(); else if (a) b(); } }")
+    assert not syntax.valid("typescript", "if (x) y(); else if z();")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import re
 
 from veldspar.llm.grammar_base import Cursor, Invalid
@@ -479,11 +480,15 @@ class Java(Cursor):
             self.fail()
 
     def s_if(self) -> None:
-        self.p += 1
-        self.parenthesized()
-        self.statement()
-        if self.word("else"):
+        while True:  # a chain of else-ifs is no nesting
+            self.p += 1
+            self.parenthesized()
             self.statement()
+            if not self.word("else"):
+                return
+            if not self.is_word("if"):
+                self.statement()
+                return
 
     def s_while(self) -> None:
         self.p += 1
@@ -931,11 +936,13 @@ class Java(Cursor):
         return "other"
 
 
-def check(text: str) -> None:
+def check(text: str, deep: bool = False) -> None:
     """Raises :class:`Invalid` unless ``text`` is a compilation unit."""
     if "\\u" in text:  # such an escape stands for its character everywhere in a source
         text = re.sub(r"(?<!\\)((?:\\\\)*)\\u+([0-9a-fA-F]{4})", lambda m: m[1] + chr(int(m[2], 16)), text)
     cursor = Java(text)
+    if deep:
+        cursor.MAX_DEPTH = math.inf
     cursor.unit()
     if cursor.k[cursor.p] != "e":
         cursor.fail()

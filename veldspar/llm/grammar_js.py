@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import re
 
 from veldspar.llm.grammar_base import Cursor, Invalid
@@ -409,11 +410,15 @@ class Script(Cursor):
         self.semicolon()
 
     def s_if(self) -> None:
-        self.p += 1
-        self.parenthesized()
-        self.statement(only=True)
-        if self.word("else"):
+        while True:  # a chain of else-ifs is no nesting
+            self.p += 1
+            self.parenthesized()
             self.statement(only=True)
+            if not self.word("else"):
+                return
+            if not self.is_word("if"):
+                self.statement(only=True)
+                return
 
     def s_while(self) -> None:
         self.p += 1
@@ -1358,7 +1363,9 @@ class Script(Cursor):
             self.assignment()
 
 
-def check(text: str, ts: bool) -> None:
+def check(text: str, ts: bool, deep: bool = False) -> None:
     """Raises :class:`Invalid` unless ``text`` is a module."""
     cursor = Script(text, ts)
+    if deep:
+        cursor.MAX_DEPTH = math.inf
     cursor.module()

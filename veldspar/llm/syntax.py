@@ -22,8 +22,10 @@ the oldest version of its key; null keys form keys of their own.
 from __future__ import annotations
 
 import re
+import sys
+import threading
 import warnings
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -35,6 +37,8 @@ from veldspar.session import spread
 EXTENSIONS = {"py": "python", "pyi": "python", "java": "java", "js": "javascript", "mjs": "javascript", "ts": "typescript", "mts": "typescript"}
 #: Characters of a chunk; longer files are mapped chunk by chunk.
 CHUNK_CHARS = 262_144
+#: Bytes of stack, touched only as far as it is used, of a thread that judges a deeply nested text.
+DEEP_STACK = 512 << 20
 
 _LEX = {
     "python": re.compile(r"#[^\r\n]*|'''|\"\"\"|'(?:\\[\s\S]|[^'\\\r\n])*'|\"(?:\\[\s\S]|[^\"\\\r\n])*\"|[()\[\]{}]"),
@@ -118,6 +122,33 @@ def balanced(lexer: dict) -> bool:
     return lexer[""] == ("", "", "")
 
 
+def _unbounded(check: Callable[..., None], text: str, *args: bool) -> None:
+    """``check`` of a text nested deeper than a grammar allows at first.
+
+    It runs in a thread with a stack of its own, with frames in proportion to
+    the text, since every level takes some of it.
+    """
+    raised: list[BaseException] = []
+
+    def run() -> None:
+        try:
+            check(text, *args, deep=True)
+        except BaseException as e:  # noqa: BLE001
+            raised.append(e)
+
+    limit, size = sys.getrecursionlimit(), threading.stack_size(DEEP_STACK)
+    sys.setrecursionlimit(max(limit, 40 * len(text)))
+    try:
+        t = threading.Thread(target=run)
+        t.start()
+        t.join()
+    finally:
+        threading.stack_size(size)
+        sys.setrecursionlimit(limit)
+    if raised:
+        raise raised[0]
+
+
 def valid(lang: str, text: str) -> bool:
     """Whether the grammar of ``lang`` takes the whole text."""
     from veldspar.llm import grammar_java, grammar_js
@@ -127,12 +158,18 @@ def valid(lang: str, text: str) -> bool:
         if lang == "python":
             with warnings.catch_warnings():
                 warnings.simplefilter("ignore")
-                compile(text.encode("utf-8", "surrogatepass"), "file", "exec", dont_inherit=True)
-        elif lang == "java":
-            grammar_java.check(text.removeprefix("﻿"))
-        else:
-            grammar_js.check(text.removeprefix("﻿"), lang == "typescript")
-    except (Invalid, SyntaxError, ValueError, RecursionError, MemoryError, OverflowError, IndexError):
+                try:
+                    compile(text.encode("utf-8", "surrogatepass"), "file", "exec", dont_inherit=True)
+                except (RecursionError, MemoryError):  # the interpreter's own bounds, its verdict
+                    return False
+            return True
+        check, args = (grammar_java.check, ()) if lang == "java" else (grammar_js.check, (lang == "typescript",))
+        source = text.removeprefix("﻿")
+        try:
+            check(source, *args)
+        except RecursionError:
+            _unbounded(check, source, *args)
+    except (Invalid, SyntaxError, ValueError, OverflowError, IndexError):
         return False
     return True
 
