@@ -39,6 +39,26 @@ def test_votes_trust_the_agreeing_source(spark):
     assert {r.value for r in winners.where("field = 'message'").collect()} == {"true"}
 
 
+def test_rounds_go_on_until_reliabilities_settle(spark):
+    m, rows = 14, []  # one claim after the other turns, each a round after the one before
+
+    def claim(line, msg, src):
+        rows.append(finding(len(rows), line, 1, msg=msg, sev=float("nan"), conf=None, src=src))
+
+    for i in range(m):
+        for src, msg in ((f"s{i}", "new"), (f"s{i + 1}", "new"), (f"r{i}", "old")):
+            claim(100 * i, msg, src)
+    for i in range(20):
+        claim(100 * (m + i), "alone", "s0")
+    trust = spark.createDataFrame([(f"r{i}", 5) for i in range(m)] + [(f"s{i}", 0) for i in range(m + 1)], "source string, trust int")
+    recs = defects.numbered(defects.with_defects(defects.records(spark.createDataFrame(rows, F_SCHEMA), trust)))
+    winners, reliability = defects.discovered(recs)
+    assert {r.value for r in winners.where("field = 'message'").collect()} == {"new", "alone"}
+    assert reliability[f"r{m - 1}"] == pytest.approx(1 / 3) and reliability[f"s{m - 1}"] == pytest.approx(3 / 4)
+    bounded, _ = defects.discovered(recs, max_rounds=10)
+    assert "old" in {r.value for r in bounded.where("field = 'message'").collect()}
+
+
 @pytest.mark.parametrize("seed", range(40))
 def test_cuts(seed):
     r = np.random.default_rng(seed)

@@ -21,6 +21,7 @@ report without repo, owner, kind or line is linked to none and stands alone.
 from __future__ import annotations
 
 import json
+import logging
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -29,6 +30,8 @@ from pyspark.sql import functions as F
 from veldspar.functions.keys import holds_number, holds_something, something, spelling, trimmed
 from veldspar.session import checkpointed
 
+_log = logging.getLogger(__name__)
+
 FIELDS = ("message", "severity", "confidence")
 #: Reliabilities are kept on the driver; there are as many as sources, which are classes of tools.
 MAX_SOURCES = 100_000
@@ -62,12 +65,17 @@ def with_defects(recs: DataFrame, gap: int = 3) -> DataFrame:
     ).drop("_start")
 
 
-def discovered(recs: DataFrame, max_rounds: int = 10, tolerance: float = 1e-3) -> tuple[DataFrame, dict[str, float]]:
+def discovered(recs: DataFrame, max_rounds: int | None = None, tolerance: float = 1e-3) -> tuple[DataFrame, dict[str, float]]:
     """((gid, field, value, votes) of the winners, source -> reliability).
 
     A value is one row with the sources that claim it, so a round weighs it
     without a join. Only values that another one contests are voted on again;
     the others have won in every round.
+
+    Rounds go on until no reliability moves by more than ``tolerance``. They
+    end too when reliabilities come back that were there before, since they
+    would then go round for ever; ``max_rounds`` can bound them. How many there
+    were, the last change and what ended them is logged.
     """
     claim = F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).cast("string").alias("value")) for f in FIELDS])).alias("c")
     claims = recs.select("gid", "ord", "_src", "trust", "reported_at", claim).select("gid", "ord", "_src", "trust", "reported_at", "c.field", "c.value").where("value is not null")
@@ -82,15 +90,20 @@ def discovered(recs: DataFrame, max_rounds: int = 10, tolerance: float = 1e-3) -
     open_ = checkpointed(values.join(contested, ["gid", "field"], "left_semi").select("gid", "field", "vid", "latest", F.transform("by", lambda b: F.struct(b["_src"].alias("_src"), b["n"].alias("n"))).alias("by")))
     all_open = {r["_src"]: r["n"] for r in open_.select(F.explode("by").alias("b")).groupBy("b._src").agg(F.sum("b.n").alias("n")).collect()}
     key = ["gid", "field"]
-    for _ in range(max_rounds):
+    seen, rounds, change = {tuple(sorted(reliability.items()))}, 0, float("inf")
+    while max_rounds is None or rounds < max_rounds:
         best = open_.select(*key, "vid", "latest", _votes(reliability).alias("votes")).groupBy(*key).agg(F.max(F.struct("votes", "latest", "vid"))["vid"].alias("vid"))
         won = open_.join(best, [*key, "vid"], "left_semi").select(F.explode("by").alias("b")).groupBy("b._src").agg(F.sum("b.n").alias("won"))
         right = {r["_src"]: r["won"] for r in won.collect()}  # a row per source
         new = {r._src: (r.n - all_open.get(r._src, 0) + right.get(r._src, 0) + 1) / (r.n + 2) for r in sources}
         change = max((abs(new[s] - reliability[s]) for s in new), default=0.0)
         reliability = new
-        if change <= tolerance:
+        rounds += 1
+        state = tuple(sorted(new.items()))
+        if change <= tolerance or state in seen:
             break
+        seen.add(state)
+    _log.info("truth discovery: %d rounds, last change %.6f, %s", rounds, change, "settled" if change <= tolerance else "not settled")
     top = F.max(F.struct("votes", "latest", "vid", "value")).alias("top")
     winners = values.select(*key, "value", "vid", "latest", _votes(reliability).alias("votes")).groupBy(*key).agg(top).select(*key, F.col("top.value").alias("value"), F.col("top.votes").alias("votes"))
     return winners, reliability
@@ -107,7 +120,7 @@ def numbered(grouped: DataFrame) -> DataFrame:
     return grouped.join(ids, "_gkey").drop("_gkey")
 
 
-def best_records(findings: DataFrame, trust: DataFrame, gap: int = 3, max_rounds: int = 10) -> DataFrame:
+def best_records(findings: DataFrame, trust: DataFrame, gap: int = 3, max_rounds: int | None = None) -> DataFrame:
     """One row per defect.
 
     (first_ord, repo, owner, sub, first_line, last_line, n_records, best_ord,
