@@ -132,3 +132,35 @@ def test_else_without_an_if_stays_invalid():
     assert not syntax.valid("javascript", "if (x) y(); else z(); else if (a) b();")
     assert not syntax.valid("java", "class A { void f() { if (x) y(); else z(); else if (a) b(); } }")
     assert not syntax.valid("typescript", "if (x) y(); else if z();")
+
+
+CASES = [
+    ("java", JAVA, True), ("javascript", JS, True), ("java", JAVA[:-3], False), ("java", "import a.B;\npackage c;\n", False), ("java", "package c;\nimport a.B;\nclass A {}\nimport d.E;\n", False), ("java", "class A {\n /* {\n } */ String s = \"\"\"\n  {{\n \"\"\";\n}\n", True),
+    ("javascript", "if (a) b();\nelse c();\nexport {};\nlet x = 1;\n", True), ("javascript", "if (a) b();\nlet x = ;\n", False), ("typescript", "function f(a: string): void;\nfunction f(a: any) {}\n", True),
+    ("python", "'doc'\nfrom __future__ import annotations\nx = 1\n", True), ("python", "x = 1\nfrom __future__ import annotations\n", False), ("python", "@dec\ndef f():\n    pass\nif x:\n    y\nelse:\n    z\n", True), ("python", "x = f\"{d[\"}\"]}\"\ny = 1\n", True), ("python", "else:\n    z\n", False), ("python", "x = '''\ndef (\n'''\n", True),
+]
+
+
+@pytest.mark.parametrize(("lang", "text", "want"), CASES)
+def test_statements_decide(lang, text, want):
+    assert syntax.valid(lang, text) is want
+
+
+def test_chunks_and_whole_files_agree(spark):
+    ext = {"java": "java", "javascript": "js", "typescript": "ts", "python": "py"}
+    rows = [("r", f"{i}.{ext[lang]}", text, dt.datetime(2025, 1, 1)) for i, (lang, text, _) in enumerate(CASES)]
+    df = spark.createDataFrame(rows, "repo string, relpath string, text string, last_indexed timestamp_ntz")
+    for size in (7, 40):
+        got = {r.relpath: r.valid for r in syntax.verdicts(df, chunk_chars=size).collect()}
+        assert got == {r[1]: c[2] for r, c in zip(rows, CASES, strict=True)}
+
+
+def test_the_fold_decides(monkeypatch):
+    assert not syntax.valid("python", "x = (\n")
+    monkeypatch.setattr(syntax, "balanced", lambda _: False)
+    assert not syntax.valid("python", "x = 1\n")
+
+
+def test_the_statements_decide(monkeypatch):
+    monkeypatch.setattr(syntax, "parsed", lambda *_: 2)
+    assert syntax.valid("javascript", "let x = ;")

@@ -7,6 +7,15 @@ class Invalid(Exception):  # noqa: N818
     """The source is not valid."""
 
 
+class Unfinished(Invalid):
+    """The text ends within a comment or literal: its state, and the tokens in front of it."""
+
+    def __init__(self, state: str, *found: list) -> None:
+        super().__init__("end within", state)
+        self.state = state
+        self.found = found
+
+
 OPEN = {"(": ")", "[": "]", "{": "}"}
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 import re
 
-from veldspar.llm.grammar_base import Cursor, Invalid
+from veldspar.llm.grammar_base import Cursor, Invalid, Unfinished
 
 # The language's reserved words.
 KEYWORDS = frozenset(
@@ -17,20 +17,23 @@ MODIFIERS = frozenset("public protected private static abstract final native syn
 TOKEN = re.compile(
     r"""(?P<space>[ \t\f\r\n\x1a]+|//[^\r\n]*|/\*.*?\*/)
     |(?P<i>[^\W\d][\w$]*|\$[\w$]*)
-    |(?P<s>\"\"\"[ \t\f]*\r?\n(?:\\[\s\S]|(?!\"\"\")[^\\])*\"\"\"|"(?:\\(?:[btnfrs"'\\]|[0-7]{1,3}|u+[0-9a-fA-F]{4})|[^"\\\r\n])*"|'(?:\\(?:[btnfrs"'\\]|[0-7]{1,3}|u+[0-9a-fA-F]{4})|[^'\\\r\n])')
+    |(?P<s>\"\"\"[ \t\f]*\r?\n(?:\\[\s\S]|(?!\"\"\")[^\\])*\"\"\"|"(?!"")(?:\\(?:[btnfrs"'\\]|[0-7]{1,3}|u+[0-9a-fA-F]{4})|[^"\\\r\n])*"|'(?:\\(?:[btnfrs"'\\]|[0-7]{1,3}|u+[0-9a-fA-F]{4})|[^'\\\r\n])')
     |(?P<n>0[xX](?:[0-9a-fA-F](?:[0-9a-fA-F_]*[0-9a-fA-F])?)?(?:\.[0-9a-fA-F_]*)?(?:[pP][+-]?\d[\d_]*[fFdD]?)?[lL]?|0[bB][01](?:[01_]*[01])?[lL]?|(?:\d(?:[\d_]*\d)?)?\.\d(?:[\d_]*\d)?(?:[eE][+-]?\d+)?[fFdD]?|\d(?:[\d_]*\d)?(?:\.(?:[eE][+-]?\d+)?[fFdD]?(?![\w.])|[eE][+-]?\d+[fFdD]?|[fFdD]|[lL])?)(?![\w$])
-    |(?P<o>->|::|\.\.\.|\+\+|--|&&|\|\||==|!=|<=|<<=|<<|[-+*/%&|^]=|[-+*/%&|^~!?:;,.()\[\]{}<>=@])""",
+    |(?P<o>(?!/\*)(?:->|::|\.\.\.|\+\+|--|&&|\|\||==|!=|<=|<<=|<<|[-+*/%&|^]=|[-+*/%&|^~!?:;,.()\[\]{}<>=@]))""",
     re.S | re.X,
 )
 
 
-def tokens(text: str):
+def tokens(text: str, at: int = 0):
     kinds, values, starts = [], [], []
-    pos, n = 0, len(text)
+    pos, n = at, len(text)
     match = TOKEN.match
     while pos < n:
         m = match(text, pos)
         if m is None:
+            for state in ("/*", '"""'):
+                if text.startswith(state, pos):
+                    raise Unfinished(state, kinds, values, starts, [False] * len(kinds))
             raise Invalid("character", pos)
         k = m.lastgroup
         if k != "space":
@@ -38,15 +41,17 @@ def tokens(text: str):
             values.append(m.group())
             starts.append(pos)
         pos = m.end()
-    return kinds, values, starts
+    return kinds, values, starts, [False] * len(kinds)
+
+
+PACKAGE, IMPORT, TYPE, MODULE = range(4)
 
 
 class Java(Cursor):
     MAX_DEPTH = 400
 
-    def __init__(self, text: str) -> None:
-        kinds, values, starts = tokens(text)
-        super().__init__(kinds, values, starts, [False] * len(kinds))
+    def __init__(self, found: tuple) -> None:
+        super().__init__(*found)
 
     # names and types
 
@@ -163,27 +168,26 @@ class Java(Cursor):
 
     # declarations
 
-    def unit(self) -> None:
-        if self.k[self.p] == "e":
-            return
-        if self.attempt(self.package_line):
-            pass
-        while self.op(";"):
-            pass
-        while self.is_word("import"):
+    def part(self) -> int | None:
+        """Rank of one piece of a compilation unit: package, import, type, module; null for semicolons."""
+        if self.is_word("import"):
             self.p += 1
             self.word("static")
             self.qualified()
             if self.op("."):
                 self.need("*")
             self.need(";")
-            while self.op(";"):
-                pass
+            return IMPORT
+        if self.attempt(self.package_line):
+            return PACKAGE
         if self.is_word("module", "open") and self.attempt(self.module):
-            return
+            return MODULE
+        rank = None
         while self.k[self.p] != "e":
             if not self.op(";"):
                 self.type_declaration(self.modifiers())
+                rank = TYPE
+        return rank
 
     def package_line(self) -> None:
         self.annotations()
@@ -936,13 +940,46 @@ class Java(Cursor):
         return "other"
 
 
-def check(text: str, deep: bool = False) -> None:
-    """Raises :class:`Invalid` unless ``text`` is a compilation unit."""
-    if "\\u" in text:  # such an escape stands for its character everywhere in a source
-        text = re.sub(r"(?<!\\)((?:\\\\)*)\\u+([0-9a-fA-F]{4})", lambda m: m[1] + chr(int(m[2], 16)), text)
-    cursor = Java(text)
+def plain(text: str) -> str:
+    """``text`` with such escapes resolved as stand for their character everywhere in a source."""
+    if "\\u" not in text:
+        return text
+    return re.sub(r"(?<!\\)((?:\\\\)*)\\u+([0-9a-fA-F]{4})", lambda m: m[1] + chr(int(m[2], 16)), text)
+
+
+def statements(found: tuple) -> list[tuple[int, int]]:
+    """Token spans of the package line, each import and each type of a compilation unit."""
+    kinds, values = found[:2]
+    out, depth, start = [], 0, 0
+    for i, v in enumerate(values):
+        if kinds[i] != "o":
+            continue
+        if v in ("(", "[", "{"):
+            depth += 1
+        elif v in (")", "]", "}"):
+            depth -= 1
+        if depth == 0 and v in (";", "}"):
+            out.append((start, i + 1))
+            start = i + 1
+    if start < len(values):
+        out.append((start, len(values)))
+    return out
+
+
+def check(found: tuple, deep: bool = False) -> int | None:
+    """The rank of the piece; raises :class:`Invalid` unless it is a whole one."""
+    cursor = Java(found)
     if deep:
         cursor.MAX_DEPTH = math.inf
-    cursor.unit()
+    rank = cursor.part()
     if cursor.k[cursor.p] != "e":
         cursor.fail()
+    return rank
+
+
+def in_order(ranks: list[int | None]) -> bool:
+    """Whether pieces of these ranks make a compilation unit, in this order."""
+    some = [r for r in ranks if r is not None]
+    if PACKAGE in ranks[1:] or MODULE in some and (some.count(MODULE) > 1 or TYPE in some):
+        return False
+    return some == sorted(some)

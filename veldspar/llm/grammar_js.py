@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 import re
 
-from veldspar.llm.grammar_base import Cursor, Invalid
+from veldspar.llm.grammar_base import Cursor, Invalid, Unfinished
 
 # Reserved words of a module.
 RESERVED = frozenset(
@@ -20,21 +20,21 @@ TOKEN = re.compile(
     |(?P<i>\#?(?:[^\W\d]|[$]|\\u[0-9a-fA-F]{4}|\\u\{[0-9a-fA-F]+\})(?:[\w$‌‍]|\\u[0-9a-fA-F]{4}|\\u\{[0-9a-fA-F]+\})*)
     |(?P<s>"(?:\\(?:\r\n|u\{[0-9a-fA-F]+\}|u[0-9a-fA-F]{4}|x[0-9a-fA-F]{2}|[^ux])|[^"\\\r\n])*"|'(?:\\(?:\r\n|u\{[0-9a-fA-F]+\}|u[0-9a-fA-F]{4}|x[0-9a-fA-F]{2}|[^ux])|[^'\\\r\n])*')
     |(?P<n>(?:0[xX][\da-fA-F]+(?:_[\da-fA-F]+)*n?|0[oO][0-7]+(?:_[0-7]+)*n?|0[bB][01]+(?:_[01]+)*n?|(?:0|[1-9]\d*(?:_\d+)*)n|(?:(?:0|[1-9]\d*(?:_\d+)*)(?:\.(?:\d+(?:_\d+)*)?)?|\.\d+(?:_\d+)*)(?:[eE][+-]?\d+(?:_\d+)*)?))(?![\w$])
-    |(?P<o>=>|\.\.\.|\?\?=|\?\?|\?\.(?!\d)|===|!==|==|!=|\*\*=|\*\*|\+\+|--|&&=|\|\|=|&&|\|\||<<=|<<|<=|[-+*/%&|^]=|[-+*/%&|^~!?:;,.()\[\]{}<>=@])""",
+    |(?P<o>(?!/\*)(?:=>|\.\.\.|\?\?=|\?\?|\?\.(?!\d)|===|!==|==|!=|\*\*=|\*\*|\+\+|--|&&=|\|\|=|&&|\|\||<<=|<<|<=|[-+*/%&|^]=|[-+*/%&|^~!?:;,.()\[\]{}<>=@]))""",
     re.S | re.X,
 )
 REGEX = re.compile(r"/(?![*/])(?:\\[^\r\n]|\[(?:\\[^\r\n]|[^\]\\\r\n])*\]|[^/\\\[\r\n])+/[A-Za-z]*")
 TEMPLATE = re.compile(r"(?:\\[\s\S]|\$(?!\{)|[^\\`$])*(`|\$\{)")
 
 
-def tokens(text: str):
-    """Kinds, values, starts, and whether a line end stands in front."""
+def tokens(text: str, at: int = 0):
+    """Kinds, values, starts from ``at`` on, and whether a line end stands in front."""
     kinds: list[str] = []
     values: list[str] = []
     starts: list[int] = []
     newline: list[bool] = []
-    pos, n, nl = 0, len(text), True
-    if text.startswith("#!"):
+    pos, n, nl = at, len(text), True
+    if not at and text.startswith("#!"):
         pos = (re.search(r"[\r\n]|$", text)).start()
     braces: list[str] = []  # what each open brace belongs to
     parens_regex = False
@@ -52,7 +52,7 @@ def tokens(text: str):
                 nl = False
             m = TEMPLATE.match(text, pos + 1)
             if m is None:
-                raise Invalid("template", pos)
+                raise Unfinished("`", kinds, values, starts, newline)
             kinds.append("t" if c == "`" else "T")
             values.append("`" if m[1] == "`" else "${")
             starts.append(pos)
@@ -80,6 +80,8 @@ def tokens(text: str):
                     continue
         m = match(text, pos)
         if m is None:
+            if text.startswith("/*", pos):
+                raise Unfinished("/*", kinds, values, starts, newline)
             raise Invalid("character", pos)
         k = m.lastgroup
         if k == "space" or k == "nl":
@@ -108,8 +110,8 @@ def tokens(text: str):
 class Script(Cursor):
     MAX_DEPTH = 300
 
-    def __init__(self, text: str, ts: bool) -> None:
-        super().__init__(*tokens(text))
+    def __init__(self, found: tuple, ts: bool) -> None:
+        super().__init__(*found)
         self.ts = ts
         self.no_in = False
 
@@ -1363,9 +1365,41 @@ class Script(Cursor):
             self.assignment()
 
 
-def check(text: str, ts: bool, deep: bool = False) -> None:
-    """Raises :class:`Invalid` unless ``text`` is a module."""
-    cursor = Script(text, ts)
+# words that begin a statement wherever a line begins with them behind a closing brace
+_BEGIN = frozenset("function class const var export import".split())
+
+
+def statements(found: tuple) -> list[tuple[int, int]]:
+    """Token spans of one or more whole top-level statements each.
+
+    A span ends behind a semicolon, or behind a closing brace where the next
+    line begins with a word that can only begin a statement.
+    """
+    kinds, values, _, newline = found
+    out, depth, start = [], 0, 0
+    for i, v in enumerate(values):
+        if i > start and depth == 0 and kinds[i - 1] == "o":
+            last = values[i - 1]
+            if last == ";":
+                new = kinds[i] != "i" or v not in ("else", "while")
+            else:
+                new = last == "}" and newline[i] and kinds[i] == "i" and v in _BEGIN and not (v == "import" and values[i + 1 : i + 2] in (["("], ["."]))
+            if new:
+                out.append((start, i))
+                start = i
+        if kinds[i] == "o":
+            if v in ("(", "[", "{"):
+                depth += 1
+            elif v in (")", "]", "}"):
+                depth -= 1
+    if start < len(values):
+        out.append((start, len(values)))
+    return out
+
+
+def check(found: tuple, ts: bool, deep: bool = False) -> None:
+    """Raises :class:`Invalid` unless the tokens are statements of a module."""
+    cursor = Script(found, ts)
     if deep:
         cursor.MAX_DEPTH = math.inf
     cursor.module()
