@@ -34,11 +34,43 @@ def test_votes_trust_the_agreeing_source(spark):
         for k, src in enumerate(("good", "good2", "bad")):
             rows.append(finding(i * 10 + k, 100 * i, 1, msg=("true" if src != "bad" else f"false{i}"), src=src))
     recs = defects.numbered(defects.with_defects(defects.records(spark.createDataFrame(rows, F_SCHEMA), spark.createDataFrame([("bad", 5)], "source string, trust int"))))
-    winners, reliability = defects.discovered(recs)
+    winners, reliability = defects.discovered(defects._field_claims(recs), {"bad": 1.0, "good": 1 / 6, "good2": 1 / 6})
     assert reliability["good"] > reliability["bad"]
     assert {r.value for r in winners.where("field = 'message'").collect()} == {"true"}
 
 
+def test_repetition_does_not_outvote(spark):
+    rows = [finding(i, 10, 1, msg="often", src="bad") for i in range(9)] + [finding(20 + i, 10, 1, msg="once", src=s) for i, s in enumerate(("good", "good2"))]
+    recs = defects.numbered(defects.with_defects(defects.records(spark.createDataFrame(rows, F_SCHEMA), spark.createDataFrame([], "source string, trust int"))))
+    winners, _ = defects.discovered(defects._field_claims(recs), {})
+    assert [r.value for r in winners.where("field = 'message'").collect()] == ["once"]
+
+
+def test_representatives_are_the_dominating_records(spark, monkeypatch):
+    rng = random.Random(3)
+    rows = [finding(i, rng.choice((1, 2, 9, 30, 33, 37)), rng.choice((None, 1, 2)), msg=rng.choice(("m", "n/a")), src=rng.choice(("rule", "scan", "-")), owner=rng.choice("fg"), repo=rng.choice(("r", None, "s"))) for i in range(90)]
+    rows += rows[:20]
+    trust = spark.createDataFrame([("rule", 3), ("scan", 1)], "source string, trust int")
+    df = spark.createDataFrame(rows, F_SCHEMA)
+    groups: dict[int, list] = {}
+    recs = defects.numbered(defects.with_defects(defects.records(df, trust))).collect()
+    for r in recs:
+        groups.setdefault(r.gid, []).append((r.complete, r.reported_at or dt.datetime.min, r.trust, -r.ord))
+    want = set()
+    for gid, grades in groups.items():
+        best = [g for g in grades if all(g[k] >= max(x[k] for x in grades) for k in range(3))]
+        if len(grades) > 1 and best:
+            want.add((gid, -max(best)[3]))
+    got = {(r.first_ord, r.best_ord) for r in defects.representatives(df, trust).where("is_best").collect()}
+    assert got == want and want
+    whole = {(r.first_ord, r.best_ord) for r in defects.best_records(df, trust).where("is_best and n_records > 1").collect()}
+    assert whole == want
+    monkeypatch.setattr(defects, "PLAN_WITNESSES", 0)
+    assert {(r.first_ord, r.best_ord) for r in defects.representatives(df, trust).where("is_best").collect()} == want
+    monkeypatch.setattr(defects, "_elected", lambda values, *_: values.limit(0).withColumn("votes", defects.F.lit(0.0)))
+    assert defects.representatives(df, trust).count() == 0  # the rows come from the votes
+
+
 def test_rounds_go_on_until_reliabilities_settle(spark):
     m, rows = 14, []  # one claim after the other turns, each a round after the one before
 
@@ -52,10 +84,11 @@ def test_rounds_go_on_until_reliabilities_settle(spark):
         claim(100 * (m + i), "alone", "s0")
     trust = spark.createDataFrame([(f"r{i}", 5) for i in range(m)] + [(f"s{i}", 0) for i in range(m + 1)], "source string, trust int")
     recs = defects.numbered(defects.with_defects(defects.records(spark.createDataFrame(rows, F_SCHEMA), trust)))
-    winners, reliability = defects.discovered(recs)
+    claims, start = defects._field_claims(recs), {f"r{i}": 1.0 for i in range(m)} | {f"s{i}": 1 / 6 for i in range(m + 1)}
+    winners, reliability = defects.discovered(claims, start)
     assert {r.value for r in winners.where("field = 'message'").collect()} == {"new", "alone"}
     assert reliability[f"r{m - 1}"] == pytest.approx(1 / 3) and reliability[f"s{m - 1}"] == pytest.approx(3 / 4)
-    bounded, _ = defects.discovered(recs, max_rounds=10)
+    bounded, _ = defects.discovered(claims, start, max_rounds=10)
     assert "old" in {r.value for r in bounded.where("field = 'message'").collect()}
 
 

@@ -74,7 +74,7 @@ def _defects(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
-    return _defects(spark, d).where("n_records > 1 and is_best").select("first_ord", "best_ord")
+    return defects.representatives(table(spark, d, "findings"), table(spark, d, "source_trust")).where("is_best").select("first_ord", "best_ord")
 
 
 def p5_survivors(spark: SparkSession, d: str) -> DataFrame:
