@@ -62,14 +62,44 @@ def test_mix_hits_the_targets(spark):
     goal = spark.createDataFrame(targets, "source string, target_share double, max_repeats int")
     uses = mixing.mixed(df, goal, block_tokens=300, shard_tokens=5000)
     rows = uses.collect()
-    times = Counter(x.doc_id for x in rows)
     cap = {x.doc_id: {"a_b": 2, "c": 3}[x.source] for x in rows}
-    assert all(n <= cap[k] for k, n in times.items())
-    assert len({(x.doc_id, x.repeat) for x in rows}) == len(rows)
+    assert all(x.repeat <= cap[x.doc_id] for x in rows)
+    assert len({(x.doc_id, x.block, x.repeat) for x in rows}) == len(rows)
+    length = Counter()
+    for x in {(x.source, x.block, x.repeat, x.doc_id): x for x in rows}.values():
+        length[x.source, x.block, x.repeat] += x.tokens
+    assert sum(n != 300 for n in length.values()) <= 2 * 3  # but for the last block of a source, all are full
     share = {x.source: x.actual_share for x in mixing.shares(uses, goal).collect()}
     assert abs(share["a_b"] - 0.625) < 0.03 and abs(share["c"] - 0.375) < 0.03 and share["absent"] == 0
     sizes = Counter()
     for x in rows:
         sizes[x.shard] += x.tokens
-    assert len(sizes) > 3 and max(sizes.values()) < 12_000
+    assert len(sizes) > 3 and max(sizes.values()) <= 5400
     assert mixing.mixed(df.limit(0), goal).count() == 0
+
+
+def test_a_plan_of_25_trillion_tokens(spark):
+    import math
+
+    import numpy as np
+
+    tokens = {"a": 10**13, "b": 4 * 10**12, "c": 10**12}
+    size, blocks, quota = mixing.planned(tokens, {"a": (0.5, 2), "b": (0.3, 2), "c": (0.2, 5)}, 25 * 10**12, None)
+    total = sum(quota.values())
+    assert size == 4096 and all(quota[s] <= blocks[s] * r for s, r in (("a", 2), ("b", 2), ("c", 5))) and abs(quota["a"] / total - 0.5) < 0.001
+    shards = round(total * size / mixing.SHARD_TOKENS)
+    groups = math.isqrt(shards - 1) + 1
+    drawn = mixing.draw(np.array([quota[s] for s in "abc"]), np.diff([(g * total) // groups for g in range(groups + 1)]), np.random.default_rng(1))
+    assert drawn.sum(axis=0).tolist() == [quota[s] for s in "abc"]
+
+
+def test_draws_cover_every_slot_once(spark):
+    quota = {"a": 700, "b": 290, "c": 1}
+    rows = mixing.shard_draws(spark, quota, 37, 3).collect()
+    for s, q in quota.items():
+        got = sorted((r["first"], r["n"]) for r in rows if r["source"] == s)
+        assert [f for f, _ in got] == [sum(n for _, n in got[:i]) for i in range(len(got))] and sum(n for _, n in got) == q
+    sizes = Counter()
+    for r in rows:
+        sizes[r["shard"]] += r["n"]
+    assert len(sizes) == 37 and max(sizes.values()) - min(sizes.values()) <= 1
