@@ -35,6 +35,10 @@ def kinds(text):
         ("Signed-off-by: Quill-Stead, Alma\n", {("Quill-Stead, Alma", "name")}),
         ("Ask Dr. F. Nettgate before", {("F. Nettgate", "name")}),
         ("The Main Street Dataset and the Bloom Filter; Amber Alert Job, Iron Gate Suite", set()),
+        ("Priya Raghunathan fixed the build.", {("Priya Raghunathan", "name")}), ("Kwame Mensah and Yuki Tanaka reviewed it", {("Kwame Mensah", "name"), ("Yuki Tanaka", "name")}), ("please ping Fatima Al-Sayed today", {("Fatima Al-Sayed", "name")}),
+        ("The Rose Garden, a Carl Zeiss lens, the Mark Twain Library and Jean Grey House", set()), ("Siehe Goldener Pfad im Handbuch. Die Kante ist unsicher.", set()),
+        ("my SIN is 046-454-286 ok", {("046-454-286", "national_id")}), ("Personnummer 811218-9876.", {("811218-9876", "national_id")}), ("codice fiscale RSSMRA85T10A562S", {("RSSMRA85T10A562S", "national_id")}), ("BSN 111222333", {("111222333", "national_id")}), ("tel 03-1234-5678", {("03-1234-5678", "phone")}),
+        ("values ('Greta Pelkby', '12 Larkmoor Court', 'X7974838');", {("Greta Pelkby", "name"), ("12 Larkmoor Court", "address"), ("X7974838", "national_id")}), ("values ('left', 'X7974838');", set()),
         ("", set()),
     ],
 )
@@ -42,6 +46,21 @@ def test_places(text, found):
     assert kinds(text) == found
 
 
+def test_checksums():
+    assert pii._luhn_ok("046454286") and not pii._luhn_ok("046454287") and pii._luhn_ok("4111 1111 1111 1111")
+    assert pii._bsn_ok("111222333") and not pii._bsn_ok("111222334")
+    assert pii._fiscale_ok("RSSMRA85T10A562S") and not pii._fiscale_ok("RSSMRA85T10A562T")
+    assert pii._nir_ok("1 51 02 46102 043 25") and pii._dni_ok("12345678Z")
+
+
+def test_unlisted_names_in_plain_sentences():
+    people = "Nnamdi Okafor,Saoirse Gallchobhair,Zbigniew Wojciechowski,Thandiwe Mkhabela,Rajesh Venkataraman,Ingeborg Haugland,Xiomara Echevarría,Dmitri Vasilenko,Aoife Brennigan,Tadeusz Kowalczyk,Chiamaka Adeyemi,Yevgenia Morozova,Gudrun Sigurdsson,Bartholomew Quigley,Anneliese Dörfler".split(",")
+    frames = ("{} reviewed the patch yesterday.", "I asked {} about it.", "The fix came from {}.", "Thanks, {}\n")
+    hits = sum((p, "name") in kinds(f.format(p)) for p in people for f in frames)
+    assert not any(p.split()[0] in pii.GIVEN for p in people)
+    assert hits >= 0.85 * len(people) * len(frames)
+
+
 def test_redaction_keeps_the_rest(spark):
     text = "Ask June Pelkworth (june@a.example) é\n\n  then call 347.555.0173. "
     df = spark.createDataFrame([(1, text), (2, None), (3, ""), (4, "nothing here"), (1, text)], "doc_id long, text string").selectExpr("*", "3 as places", "4 as start_pos")

@@ -1,13 +1,22 @@
 """Personal information in free text, replaced by typed placeholders.
 
 Method: regular expressions propose spans of each kind with a score; checksums
-(tax and identity numbers of several countries: letters mod 23, mod 11/10,
-mod 97) confirm or weaken them, words nearby adjust the score, and spans that
-reach the threshold are kept. Where spans overlap, the higher score wins, then
-the longer. The text between the spans is left as it is.
-
-Each document is worked on as a whole in one task, at one pass per kind; no
-row is moved. A text without a place comes out unchanged.
+(Luhn, mod 97 and those of national numbers) confirm them, words nearby adjust
+the score, and spans that reach the threshold are kept. Where spans overlap,
+the higher score wins, then the longer. The text between the spans is left as
+it is. A number whose checksum fails passes only behind a word that announces
+such a number: a mistyped number is still a person's.
+
+Names are told from other capitalised pairs by what is common: a word is
+common if its lower-case form is one token of a public tokenizer's vocabulary,
+as merge, gate and garden are and family names mostly are not. Common given
+names, titles, and words that precede or follow persons add to the score;
+capitalised common words behind ("... Library") and things named after persons
+("... lens") take from it.
+
+Each document is worked on as a whole in one task, and a kind's patterns run
+only where its trigger occurs; no row is moved. A text without a place comes
+out unchanged.
 
 Nulls: a null text stays null and has no places; an empty one stays empty.
 Other columns are passed on as they are. Repeated rows are worked on each.
@@ -15,6 +24,8 @@ Other columns are passed on as they are. Repeated rows are worked on each.
 
 from __future__ import annotations
 
+import base64
+import functools
 import re
 from collections.abc import Iterator
 
@@ -29,20 +40,18 @@ THRESHOLD = 1.0
 #: Characters around a span in which words count.
 NEAR = 60
 
-# Common given names of the four languages.
+#: Folder of the public vocabularies that say which words are common.
+VOCABULARIES = ("/opt/tokenizers/byte_bpe_50k.tiktoken", "/opt/tokenizers/byte_bpe_multi_50k.tiktoken")
+
+# Given names that are frequent in English, German, Spanish and French.
 GIVEN = frozenset(
-    """Adam Alan Albert Alma Amos Andrew Anna Arthur Basil Ben Carl Charles Clara Clement Daniel David Edith Edward Eleanor Elizabeth Emma Eric Faye Frank Fred George Gordon Grace Greta Harold Harry
-    Helen Henry Hugh Ivy Jack James Jane John Joseph Julia June Karen Kate Laura Lionel Lisa Louis Lucy Mara Maria Mark Martin Mary Michael Nora Oliver Owen Paul Percy Peter Philip Ralph Richard Robert Rose Rufus
-    Ruth Samuel Sarah Silas Simon Sophie Susan Thomas Tilda Victor Walter Wendy William
-    Andreas Anke Bärbel Bernd Birgit Detlef Dieter Elke Frieda Gesine Hans Heike Heinz Ilse Ingrid Jost Jürgen Karl Klaus Knut Matthias Monika Petra Renate Sabine Silke Stefan Ulrich Ursula Uwe Volker Werner Wiebke Wolfgang
-    Alba Alejandro Álvaro Ana Andrés Begoña Carlos Carmen Diego Elena Fernando Inés Íñigo Javier Joaquín José Juan Lucía Luis Manuel Marta Miguel Nuria Pablo Pedro Pilar Ramón Rocío Sergio Tomás
-    Amélie Antoine Benoît Camille Cédric Chloé Claire Élodie François Gaëtan Hélène Jean Julien Loïc Maëlle Michel Nicolas Noémie Olivier Pascal Pierre Rémi Sébastien Solène Sylvie Thibault Yann Zoé""".split()
-)
-# Capitalised words that follow or precede such names in products, roles and code.
-NOT_FAMILY = frozenset(
-    """Alert Auction Box Branch Build Cascade Code Court Data Dataset Duck Filter Gate Job Lane Lock Manager Merge Owner Path Pfad Pipeline Policy Queue Release Report Road Scan Service Stage Street Suite Team Tier Train Vault View Wall
-    January February March April May July August September October November December Monday Tuesday Wednesday Thursday Friday Saturday Sunday""".split()
+    """James Mary John Patricia Robert Jennifer Michael Linda William Elizabeth David Barbara Richard Susan Joseph Jessica Thomas Sarah Charles Karen Daniel Nancy Matthew Lisa Anthony Betty Mark Margaret Donald Sandra Steven Ashley Paul Emily Andrew Kimberly Kenneth Michelle George Carol Kevin Amanda Brian Melissa Edward Laura Ruth Alice Alma Clara Emma Edith Eleanor Grace Hugh June Nora Owen Oliver Simon Peter Philip Samuel Henry Jack Jane Julia Kate Helen Anna Carl
+    Hans Peter Wolfgang Klaus Jürgen Dieter Werner Heinz Helmut Bernd Uwe Stefan Andreas Ursula Karin Helga Sabine Ingrid Renate Monika Petra Brigitte Birgit Heike Silke Anke Karl Ulrich Volker Matthias
+    Antonio José Manuel Francisco Juan Javier Miguel Carlos Alejandro Pedro Pablo Luis Sergio Carmen Ana Isabel Dolores Pilar Teresa Rosa Cristina Lucía Marta Elena Fernando Diego Rocío Nuria
+    Jean Pierre Michel Philippe Alain Nicolas Christophe Laurent Marie Nathalie Isabelle Sylvie Catherine Martine Françoise Camille Antoine Julien François Hélène Chloé Claire Sébastien Pascal Yann Zoé""".split()
 )
+# What is named after persons, in lower case.
+THINGS = frozenset("lens camera library award prize theorem museum airport university foundation algorithm tower bridge hall house garden street method effect equation telescope test machine distribution process filter tree transform medal stadium station school hospital institute building park square engine turbine watch guitar".split())
 
 _UP, _LOW = "A-ZÀ-ÖØ-Þ", "a-zß-öø-ÿ"
 # a gap in a name or address: blanks, or a line end with what may lead the next line
@@ -70,7 +79,9 @@ _PHONE = re.compile(
     ){_EXT}(?![\w])(?![.\-/]\d)""",
     re.X,
 )
-_PHONE_WORDS = re.compile(r"(?i)\b(?:tel|phone|call|reach|fax|mobile|llama|llame|telefon|téléphone|appel(?:er|ez)|au|al|rückfragen|contact|escalate|paged|on|or)\b\.?")
+_PHONE_WORDS = re.compile(r"(?i)\b(?:tel|phone|call|reach|ring|fax|mobile|cell|llama|llame|teléfono|móvil|telefon|handy|mobil|téléphone|portable|appel(?:er|ez)|joindre|au|al|rückfragen|contact|on|or)\b\.?")
+# any grouping of digits, where such a word stands directly in front
+_SPOKEN = re.compile(r"(?i)\b(?:tel|phone|fax|mobile|cell|teléfono|móvil|telefon|handy|mobil|téléphone)\b[.:]*[ ]?((?:\+|\()?\d{1,5}\)?(?:[ .\-/]\d{1,5}){1,5})(?![\w])(?![.\-/]\d)")
 _NOT_PHONE_WORDS = re.compile(r"(?i)(?:\b(?:request|epoch|order|build|ticket|commit|version|line|port|id|code)\W{0,3}$)")
 
 _IDS = re.compile(
@@ -82,11 +93,15 @@ _IDS = re.compile(
      |(?P<nie>[XYZ][ \-]?\d{7}[ \-]?[A-Z])
      |(?P<steuer>\d{2}[ ]\d{3}[ ]\d{3}[ ]\d{3}|\d{11})
      |(?P<passport>[A-Z]{1,2}\d{6,8}|[CFGHJKLMNPRTVWXYZ][0-9CFGHJKLMNPRTVWXYZ]{8})
-     |(?P<nine>\d{9})
+     |(?P<fiscale>[A-Z]{6}\d{2}[A-EHLMPRST]\d{2}[A-Z]\d{3}[A-Z])
+     |(?P<person>(?:19|20)?\d{6}[\-+]\d{4})
+     |(?P<nine>\d{3}[ \-]\d{3}[ \-]\d{3}|\d{9})
     )(?![\w])(?![.\-/]\d)(?![ ]\d)""",
     re.X,
 )
-_ID_WORDS = re.compile(r"(?i)\b(?:ssn|social security|ni number|nino|national insurance|passport|pasaporte|passeport|reisepass|ausweis|personalausweis|steuer-?id|steuernummer|idnr|tin|tax id|dni|nie|nif|sécu|sécurité sociale|nir|insee|users values|identity|id card)\b")
+_ID_WORDS = re.compile(
+    r"(?i)\b(?:ssn|social (?:security|insurance)|sin|ni number|nino|national insurance|passport|pasaporte|passeport|reisepass|ausweis|personalausweis|steuer-?id|steuernummer|idnr|tin|tax id|dni|nie|nif|sécu|sécurité sociale|seguridad social|nir|insee|bsn|burgerservicenummer|personnummer|codice fiscale|sozialversicherung\w*|identity|id card)\b"
+)
 
 _HOUSE = r"\d{1,4}(?:[ ]?[A-Za-z](?![\w]))?"
 _STREET_EN = r"(?:Street|St\.?|Road|Rd\.?|Avenue|Ave\.?|Lane|Ln\.?|Drive|Dr\.?|Court|Ct\.?|Crescent|Cres\.?|Close|Way|Place|Pl\.?|Square|Sq\.?|Terrace|Boulevard|Blvd\.?|Parkway|Row|Mews|Hill|Grove|Gardens)"
@@ -110,10 +125,40 @@ _INITIAL_LAST = re.compile(rf"(?<![\w@.\-/])({_FAMILY}),{_GAP}({_INITIALS})(?!\w
 
 _TITLE = re.compile(r"(?:\b(?:Mr|Mrs|Ms|Miss|Dr|Prof|Sir|Herrn?|Frau|Hr|Fr|M|Mme|Mlle|Monsieur|Madame|Sr|Sra|Srta|Don|Doña|Dra|Drs)\.?\s)+$")
 _LEAD = re.compile(
-    r"(?:\b(?:Signed-off-by|Reviewed-by|Co-authored-by|Reported-by|Author|name|user|reporter|owner|contact|assignee|says|by|por|par|von|cc|and|und|et|y|Ask|Asked|Paged|Escalate to|Thanks,?|Regards,?|Gruß,?|Grüße,?|Saludos,?|Merci,?|Cordialement,?|an|a|au|to|moved to|Contactez|Rückfragen an|Revisado por|Relu par|Geprüft von)\s?[:=]?\s?[\"'(]?\s?|values \(')$|\bcc\b[^\n]{0,40},\s?$",
+    r"(?:(?:\b(?:[a-z]+-by|author|name|user|reporter|owner|contact|assignee|from|to|cc|by|with|for|ask|ping|call|thank|thanks|regards|sincerely|and|says"
+    r"|von|vom|an|für|mit|bei|und|durch|danke|grüße|gruß|par|pour|avec|chez|et|merci|cordialement|au|à|por|para|con|y|gracias|saludos|contacte[rz]?)\s?[:=,]?\s?[\"'(]?\s?)$)",
     re.I,
 )
-_TRAIL = re.compile(r"^\s*(?:[<(]\s*[\w.+\-%]+\s*(?:@|\(at\)|\[at\]|at\b|AT\b)|asked for|pidió|hat\b.*gebeten|bat um|bittet|a demandé|demande|has the keys|on \+?[\d(]|at \d\d:\d\d|, phone|before merging|wrote\b|said\b|schrieb|escribió|a écrit|lives\b|wohnt|vive\b|habite|and [A-Z]|und [A-Z]|et [A-Z]|y [A-Z]|disagree|am Telefon|, Tel\.|au [\d+]|; tel=|['\"]\s*[,)])")
+_TRAIL = re.compile(
+    r"[ ]?[<(]\s*[\w.+\-%]+\s*(?:@|[\[(]at[\])]|\bat\b)|,?\s(?:said|says|wrote|writes|asked|asks|has|had|was|is|will|would|fixed|reviewed|approved|reported|noted|lives|lived|works|worked|called|calls|thinks|wants|needs|agrees|disagrees|joined|left|added|merged|suggested"
+    r"|hat|hatte|ist|war|wird|schrieb|schreibt|sagte|sagt|bat|bittet|fragte|wohnt|meldete|meint|a|avait|est|était|écrit|demande|dit|habite|propose|ha|es|fue|escribió|dijo|pidió|pregunta|vive|propuso)\b|,? (?:phone|tel|on \+?[\d(]|at \d)|['\"]\s*[,)]"
+)
+_JOINED = re.compile(rf",?\s(?:and|und|et|y|or|oder|ou|o)\s(?={_WORD},?\s{_WORD})")
+_BEHIND = re.compile(rf"[ ]({_WORD}|{_CAPS})|[ ]([a-z]{{3,}})")
+_LISTED = re.compile(rf"{_WORD} (?:{_WORD}|{_CAPS}), $")
+# Words that begin a sentence with a noun behind them.
+_DETERMINERS = frozenset(
+    "A An The This That These Those My Your Our Their Its No Each Every Some Der Die Das Den Dem Des Dieser Diese Dieses Diesen Ein Eine Einen Einem Kein Keine Ist Am Im Zum Zur El La Los Las Un Una Unos Este Esta Estos Si Le Les Une Ce Cet Cette Ces Du".split()
+)
+# Words of streets, months and days that follow a capitalised word.
+_PLACES_AND_TIMES = frozenset(
+    "Street St Road Rd Avenue Ave Lane Ln Drive Dr Court Ct Crescent Cres Close Way Place Square Terrace Boulevard Parkway Row Mews Hill Grove Gardens January February March April May June July August September October November December Monday Tuesday Wednesday Thursday Friday Saturday Sunday".split()
+)
+
+
+@functools.cache
+def common_words(paths: tuple[str, ...] = VOCABULARIES) -> frozenset[str]:
+    """Words whose lower-case form is one token of a vocabulary; read by the executors."""
+    words = set()
+    for path in paths:
+        with open(path, "rb") as f:
+            for line in f:
+                token = base64.b64decode(line.split()[0])
+                if token[:1] == b" ":
+                    word = token[1:].decode("utf-8", "replace")
+                    if word.isalpha() and word.islower():
+                        words.add(word)
+    return frozenset(words)
 
 
 def _digits(s: str) -> str:
@@ -140,6 +185,24 @@ def _nir_ok(s: str) -> bool:
     return len(t) == 15 and t.isdigit() and 97 - int(t[:13]) % 97 == int(t[13:])
 
 
+def _luhn_ok(s: str) -> bool:
+    d = [int(c) for c in reversed(_digits(s))]
+    return sum(d[::2]) % 10 == -sum(x * 2 - 9 * (x > 4) for x in d[1::2]) % 10
+
+
+def _bsn_ok(s: str) -> bool:
+    d = [int(c) for c in _digits(s)]
+    return any(d) and (sum((9 - i) * x for i, x in enumerate(d[:8])) - d[8]) % 11 == 0
+
+
+def _fiscale_ok(s: str) -> bool:
+    # What the characters at odd places count, in the order 0-9 and A-Z.
+    odd = (1, 0, 5, 7, 9, 13, 15, 17, 19, 21, 1, 0, 5, 7, 9, 13, 15, 17, 19, 21, 2, 4, 18, 20, 11, 3, 6, 8, 12, 14, 16, 10, 22, 25, 24, 23)
+    at = ["0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ".index(c) for c in s]
+    even = [x if x < 10 else x - 10 for x in at]
+    return (sum(odd[x] for x in at[:15:2]) + sum(even[1:15:2])) % 26 == at[15] - 10
+
+
 def _emails(text: str) -> Iterator[tuple[int, int, str, float]]:
     for m in _EMAIL.finditer(text):
         after = text[m.end() : m.end() + 2]
@@ -172,11 +235,14 @@ def _phones(text: str) -> Iterator[tuple[int, int, str, float]]:
         if _ID_WORDS.search(before[-25:]):
             score -= 0.6
         yield m.start(), m.end(), "phone", score
+    for m in _SPOKEN.finditer(text):
+        if 8 <= len(_digits(m[1])) <= 15:
+            yield m.start(1), m.end(1), "phone", 1.1
 
 
 def _national_ids(text: str) -> Iterator[tuple[int, int, str, float]]:
     for m in _IDS.finditer(text):
-        v, near = m.group(), bool(_ID_WORDS.search(text[max(0, m.start() - 2 * NEAR) : m.start()]))
+        v, near = m.group(), _ID_WORDS.search(text[max(0, m.start() - NEAR) : m.start()]) is not None
         if m["nir"]:
             score = 2.0 if _nir_ok(v) else 0.5
         elif m["ssn"]:
@@ -185,12 +251,16 @@ def _national_ids(text: str) -> Iterator[tuple[int, int, str, float]]:
             score = 1.6
         elif m["dni"] or m["nie"]:
             score = 1.6 if _dni_ok(v) else 0.6
+        elif m["fiscale"]:
+            score = 1.8 if _fiscale_ok(v) else 0.6
         elif m["steuer"]:
             score = (1.1 if " " in v else 0.8) if _steuer_ok(v) else 0.4
+        elif m["person"]:
+            score = 1.1 if _luhn_ok(_digits(v)[-10:]) else 0.3
         elif m["passport"]:
             score = 0.6 if re.fullmatch(r"[A-Z]{1,2}\d{6,8}", v) else 0.3
         else:
-            score = 0.3
+            score = 0.6 if _luhn_ok(v) or _bsn_ok(v) else 0.1
         yield m.start(), m.end(), "national_id", score + (0.8 if near else 0)
 
 
@@ -203,54 +273,98 @@ def _addresses(text: str) -> Iterator[tuple[int, int, str, float]]:
 
 
 def _names(text: str) -> Iterator[tuple[int, int, str, float]]:
+    common = common_words()
+
+    def usual(word: str) -> bool:
+        return word.lower() in common
+
+    def form(word: str) -> bool:
+        """A common word, or a form of one that may begin a sentence."""
+        w = word.lower()
+        return w in common or any(w.endswith(e) and (w[: -len(e)] in common or w[: -len(e)] + "e" in common) for e in ("ed", "s", "es", "ing", "e", "er", "en"))
+
     def cues(start: int, end: int) -> float:
         before = text[max(0, start - 40) : start]
-        return (0.8 if _TITLE.search(before) else 0) + (0.4 if _LEAD.search(before) else 0) + (0.5 if _TRAIL.search(text[end : end + 60]) else 0)
-
-    def bad(family: str) -> bool:
-        return any(p.capitalize() in NOT_FAMILY or p in NOT_FAMILY for p in re.split(r"-|\s+", family))
+        follows = _TRAIL.match(text, end) is not None or _JOINED.match(text, end) is not None
+        leads = _LEAD.search(before) is not None or _LISTED.search(before) is not None
+        return (0.8 if _TITLE.search(before) else 0) + (0.4 if leads else 0) + (0.4 if follows else 0)
+
+    def family_score(family: str, end: int, lone: float = 0.5) -> float:
+        """0.6 for an uncommon family name, less for common words and things named after persons."""
+        words = [w for w in re.split(r"[\s\-]+", family) if w[0].isupper()]
+        if any(w in _PLACES_AND_TIMES or len(w) < 3 and w.isupper() or _TITLE.search(f"{w} ") for w in words):
+            return -2.0
+        score = 0.6 if any(not usual(w) for w in words) else -0.1
+        m = _BEHIND.match(text, end)
+        if m is not None and (m[2] in THINGS or m[1] is not None):
+            score -= 0.8 if m[2] or usual(m[1]) else lone
+        return score
+
+    def given_score(word: str) -> float:
+        if word in GIVEN or word.isupper() and word.capitalize() in GIVEN:
+            return 0.6
+        return -0.5 if word in _DETERMINERS else 0.0 if form(word) else 0.4
 
     pos = 0
     while (m := _GIVEN_FIRST.search(text, pos)) is not None:
         pos = m.start() + len(m[1])
-        known = m[1] in GIVEN or m[1].capitalize() in GIVEN and m[1].isupper()
-        if bad(m[3]):
+        score = family_score(m[3], m.end()) + given_score(m[1])
+        if score < 0.2 or re.split(r"[\s\-]+", m[3])[-1] in GIVEN:
             continue
-        line_end = "\n" in text[m.start() : m.end()]
-        score = (1.0 if known else 0.0) + cues(m.start(), m.end()) - (0.1 if line_end else 0)
-        if known:
-            score += 0.2
-        elif m[3] in GIVEN or m[1] in NOT_FAMILY:
+        if m[1].isupper() and m[3].isupper() and m[1].capitalize() not in GIVEN:
             continue
+        if m[3][0].islower() and m[1] not in GIVEN:
+            score -= 0.3  # a preposition rather than a part of the name
+        score += cues(m.start(), m.end()) - (0.3 if "\n" in text[m.start() : m.end()] and m[1] not in GIVEN else 0)
+        if m[2]:
+            score += 0.2  # initials between the two
         if score >= THRESHOLD:
             yield m.start(), m.end(), "name", score
             pos = m.end()
     pos = 0
     while (m := _FAMILY_FIRST.search(text, pos)) is not None:
         pos = m.start() + len(m[1])
-        if m[2] not in GIVEN or bad(m[1]) or m[1] in GIVEN:
+        if m[1] in GIVEN:
             continue
-        lead = _GIVEN_LEAD.search(text[max(0, m.start() - 24) : m.start()])
-        if lead and lead[1] in GIVEN:  # "Given Family, Given ..." is a list
+        before = text[max(0, m.start() - 24) : m.start()]
+        lead = _GIVEN_LEAD.search(before)
+        if lead and given_score(lead[1]) > 0 and not _LEAD.search(before) and not _TITLE.search(before):  # "Given Family, Given ..." is a list
             continue
-        yield m.start(), m.end(), "name", 1.3 + cues(m.start(), m.end())
+        given = m[2].split("-")[0]
+        score = family_score(m[1], m.end()) + given_score(given) - (0.0 if given in GIVEN else 0.2)
+        start = m.start()
+        if m[1][0].islower() and text[start - 2 : start - 1].isalpha():  # the preposition of the word in front
+            start = m.end(1) - len(m[1].split()[-1])
+        yield start, m.end(), "name", score + cues(start, m.end())
     pos = 0
     while (m := _INITIAL_FIRST.search(text, pos)) is not None:
         pos = m.start() + 1
-        if bad(m[2]):
-            continue
-        yield m.start(), m.end(), "name", 0.6 + cues(m.start(), m.end())
+        yield m.start(), m.end(), "name", 0.4 + family_score(m[2], m.end(), 0.3) + cues(m.start(), m.end())
     for m in _INITIAL_LAST.finditer(text):
-        if not bad(m[1]):
-            yield m.start(), m.end(), "name", 0.5 + cues(m.start(), m.end())
+        yield m.start(), m.end(), "name", 0.4 + family_score(m[1], m.end()) + cues(m.start(), m.end())
+
+
+# what a text must hold for a kind to be looked for
+_FINDERS = (
+    (_emails, re.compile(rf"@|{_AT}")),
+    (_phones, re.compile(r"\d(?:[ .\-/()]{0,3}\d){6}")),
+    (_national_ids, re.compile(r"\d(?:[ .\-]?[\dA-Z]){5}|[A-Z]{6}\d{2}|[CFGHJKLMNPRTVWXYZ][0-9CFGHJKLMNPRTVWXYZ]{8}")),
+    (_addresses, re.compile(r"\d")),
+    (_names, re.compile(rf"[{_UP}][{_LOW}.]")),
+)
 
 
-_FINDERS = (_emails, _phones, _national_ids, _addresses, _names)
+# a quoted value of a record, as in SQL
+_QUOTED = re.compile(r"['\"]")
 
 
 def find(text: str) -> list[tuple[int, int, str, float]]:
     """(start, end, kind, score) of the places in ``text``, from 0, in order."""
-    spans = [s for finder in _FINDERS for s in finder(text) if s[3] >= THRESHOLD]
+    found = [s for finder, trigger in _FINDERS if trigger.search(text) for s in finder(text)]
+    spans = [s for s in found if s[3] >= THRESHOLD]
+    for s in found:  # a quoted number in a record that holds another of the person's data
+        if s[2] == "national_id" and 0.6 <= s[3] < THRESHOLD and _QUOTED.match(text, s[1]) and any(0 < s[0] - x[1] <= 8 and _QUOTED.match(text, x[1]) for x in spans):
+            spans.append((*s[:3], THRESHOLD))
     spans.sort(key=lambda s: (-s[3], s[0] - s[1], s[0]))
     kept: list[tuple[int, int, str, float]] = []
     taken = bytearray(len(text) + 1)
