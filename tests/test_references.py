@@ -15,17 +15,31 @@ def test_orphans_match_brute_force(spark, target):
     refs = [(r.choice(keys) if r.random() < 0.6 else "hot", r.choice([*T, None]), i) for i in range(300)] + [(None, T[0], 999)]
     spans = [(r.choice(keys), r.choice(T), r.choice([None, *T])) for _ in range(12)] + [("a", None, None)]
     refs_df = spark.createDataFrame(refs, "key string, t timestamp_ntz, i int")
-    spans_df = spark.createDataFrame(spans, "key string, since timestamp_ntz, until timestamp_ntz")
+    changes = [(k, a, 1) for k, a, _ in spans] + [(k, max(a, z), -1) for k, a, z in spans if a and z]
+    changes_df = spark.createDataFrame(changes, "key string, t timestamp_ntz, delta int")
     far = dt.datetime(9999, 12, 31)
     good = lambda k, t: any(s[0] == k and s[1] and s[1] <= (t or far) and (s[2] is None or s[2] > (t or far)) for s in spans)
     want = {i for k, t, i in refs if k is None or not good(k, t)}
-    assert {x.i for x in rf.orphans_at(refs_df, spans_df, ["key"], target).collect()} == want
+    assert len(want) > 10
+    assert {x.i for x in rf.orphans_at(refs_df, changes_df, ["key"], target).collect()} == want
 
 
 def test_current_orphans(spark):
     refs = spark.createDataFrame([("a", 1), ("a", 1), ("b", 1), ("b", -1), ("c", 1), (None, 1)], "key string, delta int")
     have = spark.createDataFrame([("a", 1), ("a", -1), ("c", 1), ("d", 1)], "key string, delta int")
-    assert [tuple(r) for r in rf.orphan_keys(refs, have, ["key"]).collect()] == [("a", 2, 0)]
+    assert [tuple(r) for r in rf.orphan_keys(rf.maintained(None, refs, have, ["key"])).collect()] == [("a", 2, 0)]
+
+
+def test_state_of_many_batches_is_that_of_one(spark):
+    r = random.Random(2)
+    refs = [(r.choice("abcdef"), r.choice((1, -1))) for _ in range(200)]
+    have = [(r.choice("abcdef"), r.choice((1, -1))) for _ in range(60)]
+    state = None
+    for i in range(3):
+        one = [spark.createDataFrame(x[i::3], "key string, delta int") for x in (refs, have)]
+        state = rf.checkpointed(rf.maintained(state, *one, ["key"]))
+    whole = rf.maintained(None, spark.createDataFrame(refs, "key string, delta int"), spark.createDataFrame(have, "key string, delta int"), ["key"])
+    assert sorted(state.collect()) == sorted(whole.collect())
 
 
 def test_dangling_on_empty_tables(spark):

@@ -56,7 +56,7 @@ def p3_current(spark: SparkSession, d: str) -> DataFrame:
     refs = table(spark, d, "edges").select(norm_id("dst").alias("key"), "ord").where("key is not null").groupBy("key", "ord").agg(F.lit(1).alias("delta"))
     here = table(spark, d, "nodes").select(norm_id("id").alias("key")).unionByName(table(spark, d, "shared_nodes").select(norm_id("id").alias("key"))).distinct().withColumn("delta", F.lit(1))
     gone = table(spark, d, "removed_nodes").select(norm_id("id").alias("key")).distinct().withColumn("delta", F.lit(-1))
-    return rf.orphan_keys(refs, here.unionByName(gone), ["key"]).select("key", "n_references")
+    return rf.orphan_keys(rf.maintained(None, refs, here.unionByName(gone), ["key"])).select("key", "n_references")
 
 
 def _edge_rows(spark: SparkSession, d: str) -> DataFrame:
