@@ -60,9 +60,27 @@ def test_paths_depth_and_descendants(spark, local):
     tree = {r.node_id: r for r in hi.hierarchy(e, names, local_links=local).collect()}
     assert (tree["c"].path, tree["c"].depth, tree["c"].root_id) == ("Root/Alpha/b/c", 3, "r")
     assert (tree["r"].path, tree["r"].depth) == ("Root", 0)
-    assert tree["x"].on_cycle and tree["y"].on_cycle and tree["z"].below_cycle and tree["z"].depth is None
+    assert tree["x"].on_cycle and tree["y"].on_cycle and tree["z"].below_cycle
+    assert (tree["z"].path, tree["z"].depth, tree["z"].root_id, tree["x"].depth) == ("y/z", 1, "y", 0)
     pairs = {tuple(r) for r in hi.descendants(hi.hierarchy(e, local_links=local)).collect()}
-    assert ("r", "c", 3) in pairs and ("b", "c", 1) in pairs and len(pairs) == 7
+    assert ("r", "c", 3) in pairs and ("b", "c", 1) in pairs and ("y", "z", 1) in pairs and len(pairs) == 8
+
+
+def test_every_parent_has_a_row(spark):
+    links = [("r", "a"), ("r", "b"), ("b", "c"), ("a", "c"), ("c", "d"), ("x", "y"), ("y", "x"), ("y", "c")]
+    e = spark.createDataFrame([("CONTAINS", a, b, None) for a, b in links], SCHEMA)
+    rows = {(r.node_id, r.parent_id): r for r in hi.hierarchy(e).collect()}
+    assert set(rows) == {(b, a) for a, b in links} | {("r", None)}
+    assert [rows["c", p].path for p in "aby"] == ["r/a/c", "r/b/c", "y/c"] and [rows["c", p].primary for p in "aby"] == [True, False, False]
+    assert rows["c", "y"].below_cycle and not rows["c", "a"].below_cycle and rows["d", "c"].path == "r/a/c/d"
+
+
+def test_links_without_a_repository_share_the_work(spark):
+    links = spark.range(20_000).selectExpr("'CONTAINS' as type", "cast(id div 7 as string) as src", "cast(id + 1 as string) as dst")
+    heads = hi._heads(hi.parent_links(links), 500).persist()
+    parts = hi._parts(heads, 500)
+    sizes = [r["count"] for r in heads.repartition(parts, "shard").groupBy(hi.F.spark_partition_id()).count().collect()]
+    assert heads.select("shard").distinct().count() >= 30 and len(sizes) > 20 and max(sizes) < 5_000
 
 
 def test_deep_chain(spark):

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veldspar.session import checkpointed
+from veldspar.session import checkpointed, released
 
 
 def pairs(edges: DataFrame) -> DataFrame:
@@ -58,8 +58,11 @@ def components(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
         new = checkpointed(small)
+        released(large)
         if new.join(links, ["u", "v"], "left_anti").isEmpty() and links.join(new, ["u", "v"], "left_anti").isEmpty():
+            released(new)
             break
+        released(links)
         links = new
     hung = links.select(F.col("u").alias("node"), F.col("v").alias("component"))
     heads = links.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()

@@ -7,7 +7,7 @@ left are pointers between partitions; they are merged by pointer doubling,
 which halves the distance to the top in each round. A node whose pointer
 never comes to an end hangs below a cycle.
 
-Nodes with several parents ("junctions") end a local tree. Between junctions
+For cycles, nodes with several parents ("junctions") end a local tree. Between junctions
 only the chains of single parents are left, so cycles through junctions are
 strongly connected components of a graph with a node for each junction.
 
@@ -61,12 +61,21 @@ def parent_links(edges: DataFrame, types: dict[str, bool] | None = None) -> Data
 
 
 def _heads(links: DataFrame, local_links: int) -> DataFrame:
-    """(child, parent, n_parents, shard): the least parent of each child."""
-    heads = links.groupBy("child").agg(F.min("parent").alias("parent"), F.count(F.lit(1)).alias("n_parents"), F.min("hint").alias("hint"))
+    """(child, parent, n_parents, shard): the least parent of each child.
+
+    Children of one hint, the null one too, share a shard; more of them than
+    ``local_links`` are salted.
+    """
+    hint = F.coalesce("hint", F.lit("")).alias("hint")
+    heads = links.groupBy("child").agg(F.min("parent").alias("parent"), F.count(F.lit(1)).alias("n_parents"), F.min("hint").alias("hint")).withColumn("hint", hint)
     salts = heads.groupBy("hint").agg(F.ceil(F.count(F.lit(1)) / local_links).alias("salts")).where("salts > 1")
-    return heads.join(F.broadcast(salts), "hint", "left").select(  # at most links / local_links rows
-        "child", "parent", "n_parents", F.xxhash64(F.coalesce("hint", F.lit("")), F.when(F.col("salts") > 1, F.pmod(F.hash("child"), F.col("salts"))).otherwise(F.lit(0))).alias("shard")
-    )
+    salt = F.when(F.col("salts") > 1, F.pmod(F.xxhash64("child"), F.col("salts"))).otherwise(F.lit(0))
+    return heads.join(F.broadcast(salts), "hint", "left").select("child", "parent", "n_parents", F.xxhash64("hint", salt).alias("shard"))  # at most links / local_links rows of salts
+
+
+def _parts(heads: DataFrame, local_links: int) -> int:
+    """Partitions for the shards of ``heads``, so that each holds a shard or two of full size."""
+    return max(int(heads.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-2 * heads.count() // local_links))
 
 
 def _compress(parent: dict[str, str], label: dict[str, str] | None) -> Iterator[tuple]:
@@ -104,7 +113,7 @@ def _compress(parent: dict[str, str], label: dict[str, str] | None) -> Iterator[
         yield x, ptr, dist, kind, *((ids, labels) if label is not None else (None, None))
 
 
-def _local_forest(heads: DataFrame, with_paths: bool) -> DataFrame:
+def _local_forest(heads: DataFrame, with_paths: bool, parts: int) -> DataFrame:
     """One pass over the partitions: every child with its local pointer."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -124,8 +133,7 @@ def _local_forest(heads: DataFrame, with_paths: bool) -> DataFrame:
             yield pd.DataFrame(out, columns=["node", "ptr", "dist", "kind", "ids", "labels"])
 
     columns = ["child", "parent", *(["label"] if with_paths else [])]
-    n = int(heads.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return heads.repartition(n, "shard").select(*columns).mapInPandas(run, _STEP)
+    return heads.repartition(parts, "shard").select(*columns).mapInPandas(run, _STEP)
 
 
 def _doubled(steps: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -272,7 +280,7 @@ def components_with_cycles(links: DataFrame, one_task_links: int = ONE_TASK_LINK
     return out if out is not None else links.select(F.col("a").alias("node"), F.col("b").alias("component")).limit(0)
 
 
-def _marked_chains(heads: DataFrame, marks: DataFrame) -> DataFrame:
+def _marked_chains(heads: DataFrame, marks: DataFrame, parts: int) -> DataFrame:
     """(node, component) of all nodes from each mark up to the next junction.
 
     ``marks`` is (node, component). A pass climbs within the partitions that
@@ -297,7 +305,6 @@ def _marked_chains(heads: DataFrame, marks: DataFrame) -> DataFrame:
                 on.add((at, c))
         yield pd.DataFrame([(a, c, True) for a, c in seen] + [(a, c, False) for a, c in on], columns=["node", "component", "here"])
 
-    n = int(heads.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     single = heads.where("n_parents = 1").select("child", "parent", "shard")
     out, reached = None, marks
     while True:
@@ -305,7 +312,7 @@ def _marked_chains(heads: DataFrame, marks: DataFrame) -> DataFrame:
         if placed.isEmpty():
             return out if out is not None else marks.limit(0)
         near = single.join(placed.select("shard").distinct(), "shard", "left_semi").withColumn("component", F.lit(None).cast("string"))
-        climbed = checkpointed(near.unionByName(placed).repartition(n, "shard").select("child", "parent", "component").mapInPandas(run, "node string, component string, here boolean"))
+        climbed = checkpointed(near.unionByName(placed).repartition(parts, "shard").select("child", "parent", "component").mapInPandas(run, "node string, component string, here boolean"))
         found = climbed.where("here").select("node", "component").distinct()
         if out is not None:
             found = found.join(out, ["node", "component"], "left_anti")
@@ -321,8 +328,8 @@ def find_cycles(edges: DataFrame, types: dict[str, bool] | None = None, local_li
     """
     links = checkpointed(parent_links(edges, types))
     heads = checkpointed(_heads(links, local_links))
-    single = heads.where("n_parents = 1")
-    ends, endless = _doubled(_local_forest(single, with_paths=False))
+    single, parts = heads.where("n_parents = 1"), _parts(heads, local_links)
+    ends, endless = _doubled(_local_forest(single, False, parts))
     found = ends.where(F.col("kind") == ON).select(F.col("ptr").alias("cycle_id"), F.col("node").alias("node_id"))
     if not endless.isEmpty():
         crossing = endless.select(F.col("node").alias("child")).join(single, "child").select("child", "parent")
@@ -335,60 +342,75 @@ def find_cycles(edges: DataFrame, types: dict[str, bool] | None = None, local_li
     contracted = checkpointed(climbs.join(tops, "p", "left").select("b", "p", F.coalesce("a", "p").alias("a")).join(is_junction, "a", "left_semi").select("a", "b", "p"))
     if contracted.isEmpty():
         return found
-    parts = checkpointed(components_with_cycles(contracted, one_task_links))
-    inside = contracted.join(parts.withColumnsRenamed({"node": "a", "component": "ca"}), "a").join(parts.withColumnsRenamed({"node": "b", "component": "cb"}), "b").where("ca = cb")
-    chains = _marked_chains(heads, checkpointed(inside.where("p <> a").select(F.col("p").alias("node"), F.col("ca").alias("component")).distinct()))
-    members = parts.unionByName(chains)
+    groups = checkpointed(components_with_cycles(contracted, one_task_links))
+    inside = contracted.join(groups.withColumnsRenamed({"node": "a", "component": "ca"}), "a").join(groups.withColumnsRenamed({"node": "b", "component": "cb"}), "b").where("ca = cb")
+    chains = _marked_chains(heads, checkpointed(inside.where("p <> a").select(F.col("p").alias("node"), F.col("ca").alias("component")).distinct()), parts)
+    members = groups.unionByName(chains)
     least = members.groupBy("component").agg(F.min("node").alias("cycle_id"))
     return found.unionByName(members.join(least, "component").select("cycle_id", F.col("node").alias("node_id")))
 
 
-def hierarchy(edges: DataFrame, names: DataFrame | None = None, types: dict[str, bool] | None = None, local_links: int = LOCAL_LINKS) -> DataFrame:
-    """(node_id, parent_id, root_id, depth, path_ids, path, on_cycle, below_cycle).
+def _on_cycles(heads: DataFrame, parts: int) -> DataFrame | None:
+    """(node, cycle_id) of the children that reach themselves through least parents; null if there is none."""
+    ends, endless = _doubled(_local_forest(heads, False, parts))
+    near = ends.where(F.col("kind") == ON).select("node", F.col("ptr").alias("cycle_id"))
+    if not endless.isEmpty():
+        crossing = endless.select(F.col("node").alias("child")).join(heads, "child").select("child", "parent")
+        near = near.unionByName(_cycles_by_doubling(crossing).select(F.col("node_id").alias("node"), "cycle_id"))
+    near = checkpointed(near)
+    return None if near.isEmpty() else near
+
 
-    The tree of a node with several parents goes through the least of them. A
-    root has depth 0 and itself as path. On and below a cycle, root, depth and
-    paths are null. ``names`` is (id, name) with one row per id; a node without
-    a name goes by its id.
+def hierarchy(edges: DataFrame, names: DataFrame | None = None, types: dict[str, bool] | None = None, local_links: int = LOCAL_LINKS) -> DataFrame:
+    """(node_id, parent_id, primary, root_id, depth, path_ids, path, on_cycle, below_cycle): a row per node and parent.
+
+    ``primary`` marks the row of a node's least parent; the paths of the others
+    lead through that parent and on through least parents. A root has no
+    parent, depth 0 and itself as path. A node on a cycle of least parents is
+    the root of its own path and of what hangs below it (``below_cycle``);
+    :func:`find_cycles` finds cycles through other parents too. ``names`` is
+    (id, name) with one row per id; a node without a name goes by its id.
     """
     links = checkpointed(parent_links(edges, types))
-    heads = _heads(links, local_links)
-    if names is None:
-        heads = heads.withColumn("label", F.lit(None).cast("string"))
-        named = None
-    else:
-        named = names.select(norm_id("id").alias("child"), F.col("name").alias("label")).where("child is not null").groupBy("child").agg(F.max("label").alias("label"))
-        heads = heads.join(named, "child", "left")
-    heads = checkpointed(heads)
-    ends, endless = _doubled(_local_forest(heads, with_paths=True))
-    parents = heads.select(F.col("child").alias("node"), F.col("parent").alias("parent_id"))
-    roots = links.select(F.col("parent").alias("node")).distinct().join(heads.select(F.col("child").alias("node")), "node", "left_anti")
-    labels = roots.withColumn("top", F.col("node")) if named is None else roots.join(named.withColumnRenamed("child", "node"), "node", "left").withColumn("top", F.coalesce("label", "node")).select("node", "top")
-    whole = ends.where(F.col("kind") == END).join(labels.withColumnRenamed("node", "ptr"), "ptr")
-    no, none = F.lit(False), F.lit(None)
-    trees = whole.select("node", F.col("ptr").alias("root_id"), F.col("dist").alias("depth"), F.concat(F.array("ptr"), "ids").alias("path_ids"), F.array_join(F.concat(F.array("top"), "labels"), "/").alias("path"), no.alias("on_cycle"), no.alias("below_cycle"))
-    tops = labels.select("node", F.col("node").alias("root_id"), F.lit(0).cast("long").alias("depth"), F.array("node").alias("path_ids"), F.col("top").alias("path"), no.alias("on_cycle"), no.alias("below_cycle"))
-
-    def lost(df: DataFrame) -> DataFrame:
-        return df.select("node", none.cast("string").alias("root_id"), none.cast("long").alias("depth"), none.cast("array<string>").alias("path_ids"), none.cast("string").alias("path"), (F.col("kind") == ON).alias("on_cycle"), (F.col("kind") == BELOW).alias("below_cycle"))
-
-    out = trees.unionByName(tops).unionByName(lost(ends.where(F.col("kind") != END)))
-    if not endless.isEmpty():
-        crossing = _cycles_by_doubling(endless.select(F.col("node").alias("child")).join(heads, "child").select("child", "parent"))
-        on = crossing.select(F.col("node_id").alias("node"), F.lit(ON).alias("kind"))
-        rest = endless.select("node").join(on, "node", "left_anti").withColumn("kind", F.lit(BELOW))
-        out = out.unionByName(lost(on.unionByName(rest)))
-    return out.join(parents, "node", "left").select(F.col("node").alias("node_id"), "parent_id", "root_id", "depth", "path_ids", "path", "on_cycle", "below_cycle")
+    named = None if names is None else names.select(norm_id("id").alias("node"), F.col("name").alias("label")).where("node is not null").groupBy("node").agg(F.max("label").alias("label"))
+
+    def labelled(nodes: DataFrame) -> DataFrame:
+        return nodes.withColumn("label", F.lit(None).cast("string")) if named is None else nodes.join(named, "node", "left")
+
+    heads = checkpointed(labelled(_heads(links, local_links).withColumnRenamed("child", "node")).withColumnRenamed("node", "child"))
+    parts = _parts(heads, local_links)
+    on = _on_cycles(heads, parts)
+    tops = links.select(F.col("parent").alias("node")).distinct().join(heads.select(F.col("child").alias("node")), "node", "left_anti")
+    tops = labelled(tops).select("node", F.coalesce("label", "node").alias("top"), F.lit(False).alias("cyclic"))
+    inner = heads
+    if on is not None:  # cut off above them, the rest is a forest
+        inner = checkpointed(heads.join(on.select(F.col("node").alias("child")), "child", "left_anti"))
+        tops = tops.unionByName(labelled(on.select("node")).select("node", F.coalesce("label", "node").alias("top"), F.lit(True).alias("cyclic")))
+    tops = checkpointed(tops)
+    ends, _ = _doubled(_local_forest(inner, True, parts))
+    below = ends.join(tops.withColumnRenamed("node", "ptr"), "ptr").select("node", F.col("ptr").alias("root_id"), F.col("dist").alias("depth"), F.concat(F.array("ptr"), "ids").alias("path_ids"), F.concat(F.array("top"), "labels").alias("path"), F.lit(False).alias("on_cycle"), F.col("cyclic").alias("below_cycle"))
+    own = tops.select("node", F.col("node").alias("root_id"), F.lit(0).cast("long").alias("depth"), F.array("node").alias("path_ids"), F.array("top").alias("path"), F.col("cyclic").alias("on_cycle"), F.lit(False).alias("below_cycle"))
+    tree = checkpointed(below.unionByName(own))
+    columns = ["node_id", "parent_id", "primary", "root_id", "depth", "path_ids", "path", "on_cycle", "below_cycle"]
+    first = tree.join(heads.select(F.col("child").alias("node"), F.col("parent").alias("parent_id")), "node", "left").withColumn("primary", F.lit(True)).withColumnRenamed("node", "node_id")
+    ends_at = tree.select(F.col("node").alias("node_id"), F.element_at("path", -1).alias("_label"), "on_cycle")
+    other = links.join(heads.select("child", "parent"), ["child", "parent"], "left_anti").select(F.col("child").alias("node_id"), F.col("parent").alias("node"))
+    more = other.join(tree.withColumnRenamed("on_cycle", "_on"), "node").join(ends_at, "node_id")
+    more = more.select(
+        "node_id", F.col("node").alias("parent_id"), F.lit(False).alias("primary"), "root_id", (F.col("depth") + 1).alias("depth"), F.concat("path_ids", F.array("node_id")).alias("path_ids"), F.concat("path", F.array("_label")).alias("path"),
+        "on_cycle", (F.col("below_cycle") | F.col("_on")).alias("below_cycle"),
+    )
+    return first.select(*columns).unionByName(more.select(*columns)).withColumn("path", F.array_join("path", "/"))
 
 
 def descendants(tree: DataFrame) -> DataFrame:
     """(ancestor_id, node_id, distance) of the trees from :func:`hierarchy`.
 
-    A row for each proper ancestor of each node; read off the paths, without
-    another join. Nodes on or below cycles have none.
+    A row for each node on the primary path above each node; read off the
+    paths, without another join. For all links see :func:`all_descendants`.
     """
     return (
-        tree.where(F.size("path_ids") > 1)
+        tree.where("primary and size(path_ids) > 1")
         .select("node_id", F.size("path_ids").alias("_n"), F.posexplode("path_ids").alias("_at", "ancestor_id"))
         .where(F.col("_at") < F.col("_n") - 1)
         .select("ancestor_id", "node_id", (F.col("_n") - 1 - F.col("_at")).cast("long").alias("distance"))

@@ -24,16 +24,12 @@ def _current_names(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p2_hierarchy(spark: SparkSession, d: str) -> DataFrame:
+    """A row per node and parent: its path of names, depth and root through that parent."""
     tree = hi.hierarchy(table(spark, d, "edges"), _current_names(spark, d))
-    return tree.select("node_id", "parent_id", "root_id", "depth", "path", "on_cycle", "below_cycle")
+    return tree.select("node_id", "parent_id", "primary", "root_id", "depth", "path", "on_cycle", "below_cycle")
 
 
 def p2_descendants(spark: SparkSession, d: str) -> DataFrame:
-    """Descendants in the trees of p2_hierarchy, through the least parent of each node."""
-    return hi.descendants(hi.hierarchy(table(spark, d, "edges")))
-
-
-def p2_all_descendants(spark: SparkSession, d: str) -> DataFrame:
     """Descendants over all links, through every parent and through cycles."""
     return hi.all_descendants(table(spark, d, "edges"))
 
@@ -88,7 +84,7 @@ def p6_caller_stats(spark: SparkSession, d: str) -> DataFrame:
     return skew.balanced_key_stats(_caller_rows(spark, d), "node_id", "caller").select("node_id", "n_rows", "n_members")
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_hierarchy, p2_descendants, p2_all_descendants, p3_found, p3_report, p3_current, p6_found, p6_key_stats, p6_caller_stats)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_hierarchy, p2_descendants, p3_found, p3_report, p3_current, p6_found, p6_key_stats, p6_caller_stats)}
 
 _WS = "' ' || chr(9) || chr(10) || chr(13)"
 
@@ -132,12 +128,7 @@ ORACLES = {
 _LINKS = f"""links as (select distinct p, c from (
   select case upper(trim(type)) when 'CONTAINS' then {_id('src')} else {_id('dst')} end p, case upper(trim(type)) when 'CONTAINS' then {_id('dst')} else {_id('src')} end c
   from edges where upper(trim(type)) in ('CONTAINS', 'BELONGS_TO')) where p is not null and c is not null)"""
-_UP = f"""with recursive {_LINKS},
-one as (select c, min(p) p from links group by 1),
-up as (select c node, p anc, 1 d from one union all select up.node, one.p, up.d + 1 from up join one on one.c = up.anc where up.d < 400 and one.p <> up.node and up.anc <> up.node),
-top as (select node, anc root_id, d depth from up where anc not in (select c from one) union all select distinct p, p, 0 from links where p not in (select c from one))"""
-ORACLES["p2_descendants"] = _UP + " select up.anc as ancestor_id, up.node as node_id, cast(up.d as bigint) as distance from up where up.node in (select node from top)"
-ORACLES["p2_all_descendants"] = f"""with recursive {_LINKS},
+ORACLES["p2_descendants"] = f"""with recursive {_LINKS},
 down(anc, node, d) using key (anc, node) as (select p, c, 1 from links union select down.anc, l.c, down.d + 1 from down join links l on l.p = down.node
   where not exists (select 1 from recurring.down r where r.anc = down.anc and r.node = l.c))
 select anc as ancestor_id, node as node_id, cast(d as bigint) as distance from down where anc <> node"""
@@ -150,3 +141,16 @@ walk as (select c v, c anc from inner_links union select walk.v, l.p from walk j
 back as (select distinct w.v from walk w join inner_links l on l.c = w.v where exists (select 1 from walk x where x.v = l.p and x.anc = w.v)),
 mates as (select a.v, a.anc from walk a join walk b on a.v = b.anc and a.anc = b.v where a.v in (select v from back))
 select min(anc) as cycle_id, v as node_id from mates group by v"""
+
+ORACLES["p2_hierarchy"] = f"""with recursive {_LINKS}, nm as {_CURRENT},
+one as materialized (select c, min(p) p from links group by 1),
+walk as (select c v, p a from one union select walk.v, one.p from walk join one on one.c = walk.a),
+cyc as materialized (select distinct v from walk where v = a),
+every as (select p n from links union select c from links),
+up(node, anc, d, path) as (select n, n, 0::bigint, coalesce(nm.name, n) from every left join nm on nm.id = n
+  union all select up.node, one.p, d + 1, coalesce(nm.name, one.p) || '/' || path from up join one on one.c = up.anc left join nm on nm.id = one.p where up.anc not in (select v from cyc)),
+tree as materialized (select node, anc root_id, d depth, path, node in (select v from cyc) on_cycle, node not in (select v from cyc) and anc in (select v from cyc) below_cycle
+  from up where anc not in (select c from one) or anc in (select v from cyc))
+select node as node_id, one.p as parent_id, true as primary, root_id, depth, path, on_cycle, below_cycle from tree left join one on one.c = node
+union all select l.c, l.p, false, t.root_id, t.depth + 1, t.path || '/' || coalesce(nm.name, l.c), n.on_cycle, t.below_cycle or t.on_cycle
+from links l join one on one.c = l.c and one.p <> l.p join tree t on t.node = l.p join tree n on n.node = l.c left join nm on nm.id = l.c"""

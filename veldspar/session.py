@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import tempfile
 import uuid
 import zipfile
@@ -32,14 +34,17 @@ def get_spark(master: str = "local[8]", shuffle_partitions: int = 8, **conf: str
 def shared_folder(spark: SparkSession) -> str:
     """The folder that all executors share.
 
-    It is the one the cluster names in ``spark.checkpoint.dir``. Only where
-    that is unset, as in tests on one machine, a temporary one is made.
+    It is the one the cluster names in ``spark.checkpoint.dir``. Only on one
+    machine, as in tests, a temporary one is made where that is unset; on a
+    cluster executors would write to disks of their own, so this raises.
     """
     sc = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named
     if not sc._jsc.sc().getCheckpointDir().isDefined():
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="veldspar-shared-"))
     return sc._jsc.sc().getCheckpointDir().get()
 
@@ -48,11 +53,41 @@ def checkpointed(df: DataFrame) -> DataFrame:
     """``df`` written as a table to the shared folder and read again.
 
     This cuts its lineage, survives lost executors, and gives the columns new
-    identities, so the result can be joined with itself.
+    identities, so the result can be joined with itself. The table is deleted
+    when the application ends, or by :func:`released`.
     """
-    path = f"{shared_folder(df.sparkSession)}/step-{uuid.uuid4().hex}"
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/step-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._veldspar_step = path
+    steps = spark.sparkContext.__dict__.setdefault("_veldspar_steps", set())
+    if not steps:
+        atexit.register(_sweep, spark, steps)
+    steps.add(path)
+    return out
+
+
+def released(*tables: DataFrame) -> None:
+    """Deletes tables from :func:`checkpointed` that no later step reads."""
+    for df in tables:
+        path = getattr(df, "_veldspar_step", None)
+        if path is not None:
+            _delete(df.sparkSession, path)
+            df.sparkSession.sparkContext.__dict__.get("_veldspar_steps", set()).discard(path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    sc = spark.sparkContext
+    hadoop = sc._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop.getFileSystem(sc._jsc.hadoopConfiguration()).delete(hadoop, True)
+
+
+def _sweep(spark: SparkSession, steps: set[str]) -> None:
+    for path in list(steps):
+        with contextlib.suppress(Exception):  # the session may be gone
+            _delete(spark, path)
+    steps.clear()
 
 
 def ship(spark: SparkSession) -> None:
