@@ -48,6 +48,18 @@ def test_packed_items(spark):
     assert packing.packed(df.limit(0), {"q": 100}).count() == 0
 
 
+def test_large_containers_are_planned_in_units(spark, monkeypatch):
+    monkeypatch.setattr(packing, "MAX_SIZES", 10)
+    r = random.Random(4)
+    items = [("q", f"k{i}", r.choice((1, 30, 47, 101, 150))) for i in range(200)]
+    rows = packing.packed(spark.createDataFrame(items, "box string, key string, length long"), {"q": 101}).collect()
+    room, size = Counter(), Counter()
+    for x in rows:
+        room[x.call] += x.length
+        size[x.key] += x.length
+    assert max(room.values()) <= 101 and size == Counter({k: n for _, k, n in items})
+
+
 def test_token_count_of_edge_cases(spark):
     df = spark.createDataFrame([(1, None), (2, ""), (3, "Hello world"), (4, "ab " * 100_000)], "i int, text string")
     got = {r.i: r.n for r in df.select("i", tokens.token_count(df.text).alias("n")).collect()}

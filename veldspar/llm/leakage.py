@@ -2,13 +2,14 @@
 
 Method: Wu-Manber multi-pattern search over words. The patterns are all runs
 of ``span`` consecutive words of the items. A shift table over blocks of two
-words says how far a window may jump; where the shift is zero, the patterns
-that end in the block are compared with the window.
+words says how far a window may jump; where the shift is zero, the runs that
+end in the block are looked up by the hash of the window, and compared with it
+word by word. A run is kept as its place in the item, not as a copy.
 
-The items are the bounded side (a fixed test set): they are collected only
-after their size is checked against ``max_item_chars`` and sent to the tasks
-once; beyond that bound they are searched in several passes over the corpus,
-each with a part of the items that is within it.
+The items are the bounded side (a fixed test set): the runs they hold are
+counted before anything is collected, and beyond ``max_runs`` they are
+searched in several passes over the corpus, each with a part of the items of
+about that many. So a task's memory is bounded whatever their number is.
 
 Nulls: an item or document without text, or with fewer than ``span`` words,
 gives no row. Repeated rows of a document or of an item give one row.
@@ -29,7 +30,8 @@ from veldspar.session import spread
 WORD = re.compile(r"[^\W_]+")
 #: Words of a block of the shift table.
 BLOCK = 2
-MAX_ITEM_CHARS = 64_000_000
+#: Runs of a pass: about 250 bytes each in every Python worker.
+MAX_RUNS = 1_000_000
 
 
 def words_of(text: str) -> list[str]:
@@ -37,19 +39,17 @@ def words_of(text: str) -> list[str]:
 
 
 class Patterns:
-    """Shift table, and per last block the patterns that end in it."""
+    """Shift table, and per last block the places of the runs that end in it, by their hash."""
 
     def __init__(self, items: list[tuple[int, str]], span: int) -> None:
         self.span = span
+        self.items = [(item_id, words_of(text)) for item_id, text in items]
         self.shift: dict[tuple[str, str], int] = {}
-        self.ending: dict[tuple[str, str], dict[tuple[str, ...], list[int]]] = {}
-        for item_id, text in items:
-            words = words_of(text)
+        self.ending: dict[tuple[str, str], dict[int, list[tuple[int, int]]]] = {}
+        for no, (_, words) in enumerate(self.items):
             for i in range(len(words) - span + 1):
                 run = tuple(words[i : i + span])
-                owners = self.ending.setdefault(run[-BLOCK:], {}).setdefault(run, [])
-                if item_id not in owners:
-                    owners.append(item_id)
+                self.ending.setdefault(run[-BLOCK:], {}).setdefault(hash(run), []).append((no, i))
                 for j in range(span - BLOCK + 1):
                     block, jump = run[j : j + BLOCK], span - BLOCK - j
                     if self.shift.get(block, span) > jump:
@@ -65,20 +65,24 @@ class Patterns:
             block = (words[end - 2], words[end - 1])
             jump = shift.get(block, far)
             if jump == 0:
-                found.update(self.ending[block].get(tuple(words[end - span : end]), ()))
+                window = words[end - span : end]
+                for no, i in self.ending[block].get(hash(tuple(window)), ()):
+                    item_id, own = self.items[no]
+                    if item_id not in found and own[i : i + span] == window:
+                        found.add(item_id)
                 jump = 1
             end += jump
         return found
 
 
-def leaked_items(documents: DataFrame, items: DataFrame, span: int = 12, max_item_chars: int = MAX_ITEM_CHARS) -> DataFrame:
+def leaked_items(documents: DataFrame, items: DataFrame, span: int = 12, max_runs: int = MAX_RUNS) -> DataFrame:
     """(doc_id, item_id): the document holds ``span`` words in a row of the item.
 
     ``documents`` is (doc_id, text, ...), ``items`` (item_id, text, ...).
     """
     items = items.select("item_id", "text").where("item_id is not null and text is not null").distinct()
-    chars = items.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
-    passes = max(1, -(-chars // max_item_chars))
+    runs = items.agg(F.coalesce(F.sum(F.greatest(F.regexp_count("text", F.lit(r"[\p{L}\p{N}]+")) - (span - 1), F.lit(0))), F.lit(0))).first()[0]
+    passes = max(1, -(-runs // max_runs))
     documents = spread(documents.select("doc_id", "text").where("doc_id is not null and text is not null"))
     out = None
     for k in range(passes):

@@ -32,8 +32,8 @@ from pyspark.sql import functions as F
 from veldspar.operators.prefix import running
 
 #: Length classes and documents of an enumerated pattern.
-CLASSES, DOCS = 60, 4
-MAX_CAPACITY = 4_000_000
+#: Lengths of a container's items that the plan tells apart, which bounds it on the driver.
+MAX_SIZES = 4_000_000
 
 
 def nnls(a: np.ndarray, b: np.ndarray, rounds: int = 400) -> np.ndarray:
@@ -166,22 +166,26 @@ def packed(items: DataFrame, capacities: dict[str, int]) -> DataFrame:
 
     ``items`` is (box, key, length): ``box`` names the kind of container,
     whose size is ``capacities[box]``. ``call`` numbers the containers of a
-    kind from 0. Equal rows of ``items`` are one item.
+    kind from 0. Equal rows of ``items`` are one item. Containers above
+    ``MAX_SIZES`` are planned in units of several tokens, lengths rounded up.
     """
-    if not capacities or max(capacities.values()) > MAX_CAPACITY:
-        raise ValueError(f"needs capacities of at most {MAX_CAPACITY}")
     spark = items.sparkSession
-    sizes = F.broadcast(spark.createDataFrame(sorted(capacities.items()), "box string, _cap long").where("_cap >= 1"))
+    capacities = {box: c for box, c in capacities.items() if c >= 1}
+    units = {box: -(-c // MAX_SIZES) for box, c in capacities.items()}
+    sizes = F.broadcast(spark.createDataFrame([(box, c, units[box]) for box, c in sorted(capacities.items())], "box string, _cap long, _unit long"))
     one = items.select("box", "key", F.col("length").cast("long").alias("length")).where("key is not null and length >= 1").distinct().join(sizes, "box")
     parts = one.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("length") / F.col("_cap")) - 1))).select(
-        "box", "key", F.col("part").cast("int").alias("part"), F.least(F.col("_cap"), F.col("length") - F.col("part") * F.col("_cap")).alias("length")
+        "box", "key", F.col("part").cast("int").alias("part"), F.least(F.col("_cap"), F.col("length") - F.col("part") * F.col("_cap")).alias("length"), "_cap", "_unit"
     )
+    # a part that rounds up beyond the container has it for itself
+    size = F.least(F.ceil(F.col("length") / F.col("_unit")), F.expr("_cap div _unit")).cast("long")
+    parts = parts.select("box", "key", "part", F.col("length").alias("_tokens"), size.alias("length"))
     counts = parts.groupBy("box", "length").agg(F.count(F.lit(1)).alias("n")).collect()  # at most the sum of the capacities
     slots: list[tuple[str, int, int, int, int]] = []  # box, length, first rank, first call, items of this length in a call
     for box in sorted(capacities):
         taken: dict[int, int] = {}
         call = 0
-        for lens, n in plan({r.length: r.n for r in counts if r.box == box}, capacities[box]):
+        for lens, n in plan({r.length: r.n for r in counts if r.box == box}, capacities[box] // units[box]):
             for length in sorted(set(lens)):
                 m = lens.count(length)
                 slots.append((box, length, taken.get(length, 0), call, m))
@@ -202,9 +206,10 @@ def packed(items: DataFrame, capacities: dict[str, int]) -> DataFrame:
             mine = np.array([group[k] for k in zip(b["box"], b["length"], strict=True)], np.int64) * big + b["_rank"].to_numpy(np.int64)
             j = np.searchsorted(at, mine, side="right") - 1
             b["call"] = base[j] + (b["_rank"].to_numpy(np.int64) - first[j]) // each[j]
+            b["length"] = b["_tokens"]
             yield b[["box", "key", "part", "length", "call"]]
 
-    return running(parts, ["box", "length"], ["key", "part"]).select("box", "key", "part", "length", "_rank").mapInPandas(run, "box string, key string, part int, length long, call long")
+    return running(parts, ["box", "length"], ["key", "part"]).select("box", "key", "part", "length", "_tokens", "_rank").mapInPandas(run, "box string, key string, part int, length long, call long")
 
 
 def fills(parts: DataFrame, capacities: dict[str, int]) -> DataFrame:

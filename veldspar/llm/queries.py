@@ -41,10 +41,10 @@ def _dossiers(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _definitions(spark: SparkSession, d: str) -> DataFrame:
-    """Each definition once per profile that lists it, a token for four characters of its lines."""
+    """Each definition once per profile that lists it, a token for four characters of its lines, one for an unknown."""
     listed = table(spark, d, "chunks").select(spelling("profile").alias("box"), F.explode("node_ids").alias("id")).select("box", norm_id("id").alias("key")).distinct()
     nodes = table(spark, d, "nodes").select(norm_id("id").alias("key"), F.struct("last_indexed", "ord").alias("v"), F.struct("repo", F.regexp_replace(F.regexp_replace("file", r"\\", "/"), r"^(\./|/)+", "").alias("relpath"), "start_line", "end_line").alias("n")).groupBy("key").agg(F.max_by("n", "v").alias("n"))
-    placed = listed.join(nodes, "key").select("box", "key", "n.*")
+    placed = listed.join(nodes, "key", "left").select("box", "key", "n.*")
     lens = splitting.current_files(table(spark, d, "files"))
     own = F.slice("lens", F.greatest(F.col("start_line"), F.lit(1)), F.greatest(F.col("end_line") - F.greatest(F.col("start_line"), F.lit(1)) + 1, F.lit(0)))
     chars = F.aggregate(own, F.lit(0).cast("long"), lambda a, x: a + x + 1)

@@ -123,7 +123,8 @@ def chunk_pieces(chunks: DataFrame, files: DataFrame, nodes: DataFrame, profiles
     """
     limits = profiles.select(spelling("profile").alias("_p"), "piece_limit_chars", "overlap_lines").groupBy("_p").agg(F.max("piece_limit_chars").alias("piece_limit_chars"), F.max("overlap_lines").alias("overlap_lines"))
     located = _spans(chunks, nodes).withColumn("_p", spelling("profile")).join(F.broadcast(limits), "_p", "left").drop("_p")
-    lens = current_files(files).join(definition_lines(nodes), ["repo", "relpath"], "left").withColumnRenamed("relpath", "file_path")
+    named = chunks.select("repo", F.col("file_path").alias("relpath")).distinct()
+    lens = current_files(files.join(named, ["repo", "relpath"], "left_semi")).join(definition_lines(nodes), ["repo", "relpath"], "left").withColumnRenamed("relpath", "file_path")
     work = located.join(lens, ["repo", "file_path"], "left").select("chunk_id", "repo", "file_path", "first", "last", "piece_limit_chars", "overlap_lines", "lens", "defs")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
