@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from veldspar.session import checkpointed
+
 
 def first_per_key(rows: DataFrame, keys: Sequence[str], order: Sequence[str | Column]) -> DataFrame:
     """The first row of each key. Combined before the shuffle, so hot keys cost a row per task."""
@@ -79,3 +81,18 @@ def cascade(candidates: DataFrame, key: Sequence[str], rules: Sequence[tuple[str
     ranked = candidates.withColumn("_rule", rank).where("_rule is not null")
     best = ranked.withColumn("_best", F.min("_rule").over(w)).where("_rule = _best")
     return best.withColumn("strategy", F.get(names, F.col("_rule"))).withColumn("n_candidates", F.count(F.lit(1)).over(w)).drop("_rule", "_best")
+
+
+def numbered_in_order(rows: DataFrame, order: Sequence[Column], column: str = "pos") -> DataFrame:
+    """``rows`` with their place in the whole order, from 1, without a task that holds them all.
+
+    The rows are sorted in ranges, the ranges counted, and each row gets its
+    place within its range behind the rows of those in front. The order must
+    be total, and the input deterministic, since it is read twice.
+    """
+    parted = rows.repartitionByRange(*order).withColumn("_part", F.spark_partition_id())
+    parted = checkpointed(parted)
+    sizes = parted.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))  # a row per partition
+    starts = sizes.select("_part", F.coalesce(F.sum("_n").over(W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_from"))
+    place = F.row_number().over(W.partitionBy("_part").orderBy(*order))
+    return parted.join(F.broadcast(starts), "_part").withColumn(column, place + F.col("_from")).drop("_part", "_from")

@@ -6,6 +6,6 @@ from types import ModuleType
 
 
 def modules() -> list[ModuleType]:
-    from veldspar.plans import extraction, graphs, impact, problems, relational, resolver, texts
+    from veldspar.plans import extraction, graphs, impact, problems, relational, resolver, review, texts
 
-    return [problems, graphs, relational, texts, extraction, impact, resolver]
+    return [problems, graphs, relational, texts, extraction, impact, resolver, review]

@@ -473,11 +473,3 @@ def _diff(spark):
 def diff_parse(spark, d):
     f = diffs.file_diffs(_diff(spark))
     return f.select("path", F.array_join(F.transform("added_lines", lambda x: x.cast("string")), ",").alias("added_lines"), "removed_text")
-
-
-@query("select * from (values ('add', 'signature', '4,5'), ('close', 'behavior', '21')) t(node_id, change_type, lines)")
-def o_changes(spark, d):
-    """Definitions that the diff changes, and how."""
-    n = spark.createDataFrame([("cart", "shop/cart.py", 1, 60), ("add", "shop/cart.py", 2, 9), ("close", "shop/cart.py", 12, 30)], "id string, path string, start_line int, end_line int")
-    c = diffs.changed_nodes(diffs.file_diffs(_diff(spark)), n)
-    return c.select("node_id", "change_type", F.array_join(F.transform("lines", lambda x: x.cast("string")), ",").alias("lines"))
