@@ -324,16 +324,6 @@ def u_union(spark, d):
     return a.select("repo", F.col("file_path").alias("path")).unionByName(b.select("repo", F.col("file_path").alias("path"))).unionByName(c.select("repo", F.col("relpath").alias("path"))).distinct()
 
 
-@query("select repo, relpath as path from files except select repo, file_path from file_reviews")
-def u_except(spark, d):
-    return table(spark, d, "files").select("repo", F.col("relpath").alias("path")).subtract(table(spark, d, "file_reviews").select("repo", F.col("file_path").alias("path")))
-
-
-@query("select repo, relpath as path from files intersect select repo, file_path from chunks")
-def u_intersect(spark, d):
-    return table(spark, d, "files").select("repo", F.col("relpath").alias("path")).intersect(table(spark, d, "chunks").select("repo", F.col("file_path").alias("path")))
-
-
 @query(f"select repo, file, line, left(title, 40) as head, min(ord) as ord from {_RECORDS} group by 1, 2, 3, 4")
 def u_title_dedupe(spark, d):
     f = _findings(spark, d).select("repo", "file", "line", F.substring("title", 1, 40).alias("head"), "ord")

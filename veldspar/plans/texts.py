@@ -398,13 +398,6 @@ def x_sql_usage(spark, d):
     return find(r"\b(insert into|update|delete from|merge into)\s+([a-z_][a-z0-9_]*)", "WRITES").unionByName(find(r"\b(from|join)\s+([a-z_][a-z0-9_]*)", "READS")).distinct()
 
 
-@query(f"with k as (select repo, relpath, unnest(regexp_extract_all(t, '[\"'']([A-Za-z_]\\w*)[\"'']\\s*:', 1)) k from {_CURRENT_TEXT}) select repo, k as field, count(*) as n, count(distinct relpath) as n_files from k group by 1, 2")
-def x_field_delta(spark, d):
-    """Field keys of dictionary literals."""
-    k = _texts(spark, d).select("repo", "relpath", F.explode(F.regexp_extract_all("t", F.lit(r"[\"']([A-Za-z_]\w*)[\"']\s*:"), F.lit(1))).alias("field"))
-    return k.groupBy("repo", "field").agg(_N().alias("n"), F.count_distinct("relpath").alias("n_files"))
-
-
 @query(f"with m as (select repo, relpath, unnest(regexp_extract_all(t, '(?m)^(?:from|import)\\s+([A-Za-z_]\\w*)', 1)) m from {_CURRENT_TEXT} where regexp_matches(relpath, '\\.pyi?$')) select repo, lower(replace(m, '_', '-')) as package, count(distinct relpath) as n_files from m group by 1, 2")
 def x_imported_pkgs(spark, d):
     """Root packages that Python files import."""
@@ -439,37 +432,3 @@ def l_embed_targets(spark, d):
     v = table(spark, d, "nodes").where("label = 'Function'").select(norm_id("id").alias("id"), "body_hash", "last_indexed", "ord").withColumn("r", F.row_number().over(w)).where("r <= 2")
     a, b = v.where("r = 1").select("id", "body_hash"), v.where("r = 2").select("id", F.col("body_hash").alias("old"), F.lit(True).alias("known"))
     return a.join(b, "id", "left").where("known is null or not (body_hash <=> old)").select("id")
-
-
-# diffs; the oracle holds the rows that the diff below must give
-
-DIFF = """diff --git a/shop/cart.py b/shop/cart.py
---- a/shop/cart.py
-+++ b/shop/cart.py
-@@ -3,4 +3,5 @@ def add(item):
- total = 0
--count = 1
-+count = 2
-+limit = 9
- done = False
-@@ -20,2 +21,2 @@
--old
-+new
- same
-diff --git a/shop/gone.py b/shop/gone.py
---- a/shop/gone.py
-+++ /dev/null
-@@ -1,2 +0,0 @@
--a
--b
-"""
-
-
-def _diff(spark):
-    return spark.createDataFrame([(1, DIFF)], "diff_id int, text string")
-
-
-@query("select * from (values ('shop/cart.py', '4,5,21', 'count = 1' || chr(10) || 'old')) t(path, added_lines, removed_text)")
-def diff_parse(spark, d):
-    f = diffs.file_diffs(_diff(spark))
-    return f.select("path", F.array_join(F.transform("added_lines", lambda x: x.cast("string")), ",").alias("added_lines"), "removed_text")
