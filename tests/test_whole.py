@@ -2,9 +2,7 @@
 
 import datetime as dt
 
-import pytest
-
-from veldspar.plans import extraction, graphs, texts
+from veldspar.plans import graphs, texts
 
 
 def put(spark, tmp_path, table, rows, schema):
@@ -19,7 +17,7 @@ def test_reverse_dependents_of_every_node(spark, tmp_path):
     hot = [("CALLS", f"c{i}", "hot", None) for i in range(9)]
     more = [(" calls ", "X ", "c0", "SURE"), ("IMPORTS", "hot", "c0", None), ("CALLS", "y", "x", "AMBIGUOUS"), ("USES", "z", "x", None), ("CALLS", None, "x", None)]
     d = put(spark, tmp_path, "edges", hot + more, EDGE)
-    got = {(r.origin, r.node): r.hops for r in graphs.g_reverse_dependents_all(spark, d).collect()}
+    got = {(r.origin, r.node): r.hops for r in graphs.g_reverse_dependents(spark, d).collect()}
     want = {("hot", f"c{i}"): 1 for i in range(9)} | {("hot", "x"): 2, ("c0", "x"): 1, ("c0", "hot"): 1} | {("c0", f"c{i}"): 2 for i in range(1, 9)}
     assert got == want
 
@@ -32,34 +30,6 @@ def test_paths_of_any_length_are_matched(spark, tmp_path):
     assert got == {("r", x): sum(same(x, y) for y in set(paths)) for x in paths} | {("o", "a.py"): 1}
 
 
-FILE = "repo string, relpath string, text string, last_indexed timestamp_ntz"
-
-
-@pytest.fixture(scope="module")
-def corpus(spark, tmp_path_factory):
-    old, new = dt.datetime(2024, 1, 1), dt.datetime(2024, 2, 1)
-    rows = [(repo, p, t, new) for repo in ("a", "b", None) for p, t in extraction.CORPUS.items()]
-    rows += [("a", "shop/db.py", "def gone(x):\n    os.system(x)\n", old), ("a", "shop/db.js", "def f(:", new), ("b", "shop/orders.py", None, None)]
-    return put(spark, tmp_path_factory.mktemp("corpus"), "files", rows, FILE)
-
-
-@pytest.mark.parametrize("name", sorted(n for n in extraction.QUERIES if f"{n}_all" in extraction.QUERIES and n not in ("x_field_state", "x_global_state", "x_dataflow")))
-def test_files_of_a_table_give_the_facts_of_the_corpus(spark, corpus, name):
-    own = extraction.QUERIES[name](spark, corpus)
-    got = extraction.QUERIES[f"{name}_all"](spark, corpus)
-    want = sorted(map(repr, own.collect()))
-    for repo in ("a", "b", ""):
-        assert sorted(map(repr, got.where(f"repo = '{repo}'").select(*own.columns).collect())) == want
-
-
-def test_state_and_flow_of_a_table(spark, corpus):
-    run = lambda n: [tuple(r) for r in extraction.QUERIES[f"{n}_all"](spark, corpus).where("repo = 'a'").drop("repo", "relpath").collect()]
-    assert sorted(run("x_global_state")) == sorted(map(tuple, extraction.QUERIES["x_global_state"](spark, corpus).collect()))
-    assert sorted((t, s.rpartition(".")[2], n.removeprefix("shop.orders.")) for t, s, n in run("x_field_state")) == sorted(map(tuple, extraction.QUERIES["x_field_state"](spark, corpus).collect()))
-    own = set(map(tuple, extraction.QUERIES["x_dataflow"](spark, corpus).collect()))
-    assert own < set(run("x_dataflow")) and any(src.startswith("shop.orders.") for _, src, *_ in run("x_dataflow"))
-
-
 def test_components_over_all_linking_edges(spark, tmp_path):
     edges = [("CALLS", "a", "b"), ("INSTANTIATES", "b", "c"), ("extends ", "D ", "c"), ("OVERRIDES", "e", "d"), ("IMPORTS", "e", "x"), ("CALLS", "p", "q"), ("CALLS", "p", "p")]
     edges += [("EXTENDS", "sub", "sup"), ("CONTAINS", "sub", "m1"), ("DEFINES", "sup", "m2"), ("CALLS", "m1", "far")]

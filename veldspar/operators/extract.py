@@ -234,11 +234,17 @@ class _File:
                     touch("READS", full, x.lineno)
 
     def flow(self, n: ast.FunctionDef | ast.AsyncFunctionDef, fqn: str, names: list[str], cls: str | None) -> None:
-        """One forward pass: which parameters reach arguments, fields and the result."""
-        origin: dict[str, set[int]] = {p.lstrip("*"): {i} for i, p in enumerate(names)}
-
-        def of(x: ast.AST | None) -> set[int]:
-            return set().union(*[origin.get(y.id, set()) for y in ast.walk(x) if isinstance(y, ast.Name)]) if x is not None else set()
+        """One forward pass: which parameters (by number) and fields (by name) reach arguments, fields and the result."""
+        origin: dict[str, set[str]] = {p.lstrip("*"): {str(i)} for i, p in enumerate(names)}
+
+        def of(x: ast.AST | None) -> set[str]:
+            out: set[str] = set()
+            for y in ast.walk(x) if x is not None else ():
+                if isinstance(y, ast.Name):
+                    out |= origin.get(y.id, set())
+                elif cls and isinstance(y, ast.Attribute) and isinstance(y.value, ast.Name) and y.value.id == "self" and isinstance(y.ctx, ast.Load):
+                    out.add(f"{cls}.{y.attr}")
+            return out
 
         for s in _statements(n.body):
             for x in _expressions(s):
@@ -247,7 +253,7 @@ class _File:
                     for where, a in given:
                         who = of(a)
                         if who or parts[-1] not in INERT:
-                            self.add("flow", "PASSES", fqn, parts[-1], ".".join(parts), where, x.lineno, None, 1 if isinstance(a, ast.Constant) else 0, [str(i) for i in sorted(who)])
+                            self.add("flow", "PASSES", fqn, parts[-1], ".".join(parts), where, x.lineno, None, 1 if isinstance(a, ast.Constant) else 0, sorted(who))
             if isinstance(s, ast.Assign | ast.AnnAssign | ast.AugAssign) and s.value is not None:
                 who = of(s.value)
                 for t in s.targets if isinstance(s, ast.Assign) else [s.target]:
@@ -255,11 +261,11 @@ class _File:
                         if isinstance(y, ast.Name):
                             origin[y.id] = who | (origin.get(y.id, set()) if isinstance(s, ast.AugAssign) else set())
                         elif isinstance(y, ast.Attribute) and isinstance(y.value, ast.Name) and y.value.id == "self" and cls and who:
-                            self.add("flow", "FIELD_WRITE", fqn, f"{cls}.{y.attr}", None, None, s.lineno, None, None, [str(i) for i in sorted(who)])
+                            self.add("flow", "FIELD_WRITE", fqn, f"{cls}.{y.attr}", None, None, s.lineno, None, None, sorted(who))
             elif isinstance(s, ast.For | ast.AsyncFor) and isinstance(s.target, ast.Name):
                 origin[s.target.id] = of(s.iter)
             elif isinstance(s, ast.Return) and (who := of(s.value)):
-                self.add("flow", "RETURNS", fqn, None, None, None, s.lineno, None, None, [str(i) for i in sorted(who)])
+                self.add("flow", "RETURNS", fqn, None, None, None, s.lineno, None, None, sorted(who))
 
 
 def _statements(body: list[ast.stmt]) -> Iterator[ast.stmt]:

@@ -7,6 +7,8 @@ paths is not bounded by the size of the graph.
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -18,15 +20,15 @@ def pairs(edges: DataFrame) -> DataFrame:
     return edges.select("src", "dst").where("src is not null and dst is not null").distinct()
 
 
-def distances(edges: DataFrame, starts: DataFrame, max_hops: int, reverse: bool = False) -> DataFrame:
+def distances(edges: DataFrame, starts: DataFrame, max_hops: int | None, reverse: bool = False) -> DataFrame:
     """(origin, node, hops): least number of hops from each origin, itself at 0.
 
-    ``starts`` is (origin). With ``reverse`` edges are walked from dst to src.
+    ``starts`` is (origin). Without ``max_hops`` the search ends when nothing new is reached. With ``reverse`` edges are walked from dst to src.
     """
     a, b = ("dst", "src") if reverse else ("src", "dst")
     step = checkpointed(pairs(edges).select(F.col(a).alias("_from"), F.col(b).alias("_to")))
     seen = front = checkpointed(starts.select("origin", F.col("origin").alias("node"), F.lit(0).alias("hops")).where("origin is not null").distinct())
-    for hop in range(1, max_hops + 1):
+    for hop in itertools.count(1) if max_hops is None else range(1, max_hops + 1):
         reached = front.join(step, F.col("node") == F.col("_from")).select("origin", F.col("_to").alias("node")).distinct()
         front = checkpointed(reached.join(seen.select("origin", "node"), ["origin", "node"], "left_anti").withColumn("hops", F.lit(hop)))
         if front.isEmpty():
@@ -135,6 +137,6 @@ def transitive_overrides(inherits: DataFrame, methods: DataFrame) -> DataFrame:
 
     ``inherits`` is (src, dst) from class to superclass, ``methods`` (id, owner, name, n_params).
     """
-    above = distances(inherits, methods.select(F.col("owner").alias("origin")).distinct(), 50).where("hops > 0")
+    above = distances(inherits, methods.select(F.col("owner").alias("origin")).distinct(), None).where("hops > 0")
     low, high = methods.select(F.col("id").alias("sub_method"), F.col("owner").alias("origin"), "name", "n_params"), methods.select(F.col("id").alias("super_method"), F.col("owner").alias("node"), "name", "n_params")
     return low.join(above, "origin").join(high, ["node", "name", "n_params"]).select("sub_method", "super_method").distinct()

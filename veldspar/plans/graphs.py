@@ -101,16 +101,8 @@ def _sure_edges(spark, d):
     return checkpointed(graph.pairs(e.select(norm_id("src").alias("src"), norm_id("dst").alias("dst"))))
 
 
-@query(f"with recursive {_SURE}, few as (select dst from sure group by 1 having count(*) between 3 and 4), w(origin, node, d) as (select dst, dst, 0 from few union select origin, s.src, d + 1 from w join sure s on s.dst = w.node where d < 2) select origin, node, min(d) as hops from w where node <> origin group by 1, 2")
-def g_reverse_dependents(spark, d):
-    """Dependents within two hops, over certain edges, of the nodes with three or four of them."""
-    e = _sure_edges(spark, d)
-    few = e.groupBy("dst").agg(F.count(F.lit(1)).alias("n")).where("n between 3 and 4").select(F.col("dst").alias("origin"))
-    return graph.distances(e, few, 2, reverse=True).where("hops > 0").select("origin", "node", "hops")
-
-
 @query(f"with recursive {_SURE}, w(origin, node, d) as (select dst, dst, 0 from sure union select origin, s.src, d + 1 from w join sure s on s.dst = w.node where d < 2) select origin, node, min(d) as hops from w where node <> origin group by 1, 2")
-def g_reverse_dependents_all(spark, d):
+def g_reverse_dependents(spark, d):
     """Dependents within two hops, over certain edges, of every node that has any, hot ones too."""
     e = _sure_edges(spark, d)
     return graph.distances(e, e.select(F.col("dst").alias("origin")).distinct(), 2, reverse=True).where("hops > 0").select("origin", "node", "hops")
@@ -263,15 +255,12 @@ def a_call_metrics(spark, d):
     return f.join(m, "id", "left").select("id", F.coalesce("fan_in", F.lit(0)).alias("fan_in"), F.coalesce("fan_out", F.lit(0)).alias("fan_out"), F.coalesce("recursive", F.lit(False)).alias("recursive"))
 
 
-@query(f"with {sql_calls('EXTENDS').replace('calls as', 'up as')}, {sql_calls('CONTAINS', 'DEFINES').replace('calls as', 'owns as')}, {sql_nodes('label', 'name', 'param_count')} select distinct a.id as sub_method, b.id as super_method from cur a join owns oa on oa.dst = a.id join up on up.src = oa.src join owns ob on ob.src = up.dst join cur b on b.id = ob.dst where a.label = 'Function' and b.label = 'Function' and a.name = b.name and a.param_count = b.param_count")
+@query(f"with recursive {sql_calls('EXTENDS').replace('calls as', 'up as')}, {sql_calls('CONTAINS', 'DEFINES').replace('calls as', 'owns as')}, {sql_nodes('label', 'name', 'param_count')}, above(a, b) as (select src, dst from up union select above.a, up.dst from above join up on up.src = above.b) select distinct a.id as sub_method, b.id as super_method from cur a join owns oa on oa.dst = a.id join above on above.a = oa.src and above.b <> oa.src join owns ob on ob.src = above.b join cur b on b.id = ob.dst where a.label = 'Function' and b.label = 'Function' and a.name = b.name and a.param_count = b.param_count")
 def j_overrides(spark, d):
-    """Methods that override one of the same name and parameter count in a direct superclass."""
-    n = current_nodes(spark, d, "label", "name", "param_count").where("label = 'Function'").select("id", "name", "param_count")
-    own = graph.pairs(calls(spark, d, "CONTAINS", "DEFINES")).select(F.col("src").alias("cls"), F.col("dst").alias("id"))
-    m = n.join(own, "id")
-    up = graph.pairs(calls(spark, d, "EXTENDS"))
-    low = m.select(F.col("id").alias("sub_method"), F.col("cls").alias("src"), "name", "param_count").join(up, "src")
-    return low.join(m.select(F.col("id").alias("super_method"), F.col("cls").alias("dst"), "name", "param_count"), ["dst", "name", "param_count"]).select("sub_method", "super_method").distinct()
+    """Methods that override one of the same name and parameter count in any class above."""
+    n = current_nodes(spark, d, "label", "name", "param_count").where("label = 'Function'").select("id", "name", F.col("param_count").alias("n_params"))
+    own = graph.pairs(calls(spark, d, "CONTAINS", "DEFINES")).select(F.col("src").alias("owner"), F.col("dst").alias("id"))
+    return graph.transitive_overrides(calls(spark, d, "EXTENDS"), n.join(own, "id"))
 
 
 @query(f"with {sql_calls()}, h1 as (select dst origin, src caller from calls), h2 as (select c.dst caller, count(*) n from calls c group by 1) select origin, count(*) as n_callers, sum(coalesce(h2.n, 0)) as n_second from h1 left join h2 using (caller) group by 1")
