@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from veldspar.operators import extract, taint
+from veldspar.operators import extract, extract_braces, taint
 from veldspar.operators.ranking import numbered_in_order
 from veldspar.plans.register import Book
 from veldspar.session import checkpointed
@@ -227,3 +227,71 @@ def x_global_state(spark, d):
 def x_dataflow(spark, d):
     """Which parameters reach which arguments and results, in every function."""
     return _current_facts(spark, d).where("fact = 'flow'").select(*_FILE, "type", "src", "name", F.col("value").alias("slot"), _args())
+
+
+def _brace_facts(spark, d, pattern):
+    """Facts of the latest version of every file whose path matches; a null repository is ''."""
+    f = table(spark, d, "files").where(F.col("relpath").rlike(pattern))
+    current = f.groupBy(F.coalesce("repo", F.lit("")).alias("repo"), "relpath").agg(F.max_by("text", F.struct("last_indexed", "text")).alias("text"))
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return extract_braces.extract_braces(current.repartition(n, "repo", "relpath"))
+
+
+_JAVA, _SCRIPTS, _BRACES = r"[.]java$", r"[.](m?js|m?ts|jsx|tsx)$", r"[.](java|m?js|m?ts|jsx|tsx)$"
+
+
+@query()
+def x_java(spark, d):
+    """Nodes of all Java files."""
+    return _brace_facts(spark, d, _JAVA).where("fact = 'node'").select(*_FILE, "type", "fqn", F.col("value").alias("kind"), "line", "end_line")
+
+
+@query()
+def x_js(spark, d):
+    """Nodes of all JavaScript and TypeScript files."""
+    return _brace_facts(spark, d, _SCRIPTS).where("fact = 'node'").select(*_FILE, "type", "fqn", F.col("value").alias("kind"), "line", "end_line")
+
+
+@query()
+def x_brace_refs(spark, d):
+    """References of all Java, JavaScript and TypeScript files, by kind and name."""
+    r = _brace_facts(spark, d, _BRACES).where("fact = 'ref'")
+    return r.groupBy("repo", "type", "name").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("relpath").alias("n_files"))
+
+
+@query()
+def x_brace_metrics(spark, d):
+    """Cyclomatic number, and branches, loops and lines, per function of these languages."""
+    return _brace_facts(spark, d, _BRACES).where("fact = 'metric'").select(*_FILE, F.col("src").alias("fqn"), "line", F.col("arity").alias("cyclomatic"), F.array_join("args", ",").alias("counts"))
+
+
+@query()
+def x_autowired(spark, d):
+    """What is injected into Java classes: by marked fields, marked constructors, or the only constructor."""
+    return _brace_facts(spark, d, _JAVA).where("type = 'AUTOWIRED'").select(*_FILE, "src", "name", F.col("value").alias("by"))
+
+
+@query()
+def x_fallback(spark, d):
+    """What a scan by lines finds in files that do not parse."""
+    return _brace_facts(spark, d, _BRACES).where("fact = 'error' or value = 'fallback'").select(*_FILE, "fact", "type", "fqn", "line")
+
+
+def _kinds(facts):
+    """Kinds of the plainer graph: routes, events, types, services, methods, variables."""
+    kind = (
+        F.when(F.col("type") == "Endpoint", "route").when(F.col("type").isin("EMITS_EVENT", "CONSUMES_EVENT"), "event").when(F.col("value").isin("interface", "type_alias", "enum"), F.col("value"))
+        .when((F.col("type") == "Class") & F.col("name").rlike("(Service|Repository|Component)$"), "service").when((F.col("type") == "Class") & F.col("name").rlike("(Model|Table|Entity)$"), "table").when(F.col("type") == "Class", "class")
+        .when((F.col("type") == "Function") & F.col("value").isin("method", "constructor"), "method").when(F.col("type") == "Function", "function").when((F.col("type") == "Field") & (F.col("value") == "module"), "variable").when(F.col("type") == "Field", "field").otherwise(F.lower("type"))
+    )
+    return facts.where("fact = 'node' or type in ('EMITS_EVENT', 'CONSUMES_EVENT')").groupBy("repo", kind.alias("kind")).agg(F.count(F.lit(1)).alias("n"), F.count_distinct("relpath").alias("n_files"))
+
+
+@query()
+def x_nx_python(spark, d):
+    return _kinds(_current_facts(spark, d))
+
+
+@query()
+def x_nx_generic(spark, d):
+    return _kinds(_brace_facts(spark, d, _BRACES))
