@@ -171,13 +171,6 @@ def a_coupling(spark, d):
     return module_imports(spark, d).orderBy(F.desc("n"), "repo", "src", "dst").limit(25).select("repo", F.col("src").alias("from_module"), F.col("dst").alias("to_module"), "n")
 
 
-@query(_CYCLES.format(g=SQL_MODULE_IMPORTS + ", ie as materialized (select repo || ':' || src src, repo || ':' || dst dst from imp)", t="ie", n=3) + " order by length, cycle limit 20")
-def g_import_cycles(spark, d):
-    """The first 20 cycles of two or three modules that import each other."""
-    e = module_imports(spark, d).select(F.concat_ws(":", "repo", "src").alias("src"), F.concat_ws(":", "repo", "dst").alias("dst"))
-    return graph.simple_cycles(e, 3).select(F.array_join("cycle", ",").alias("cycle"), "length").orderBy("length", "cycle").limit(20)
-
-
 @query()
 def g_components(spark, d):
     """Connected components over calls, instantiations, inheritance and overrides, with their sizes.

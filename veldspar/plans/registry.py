@@ -6,6 +6,6 @@ from types import ModuleType
 
 
 def modules() -> list[ModuleType]:
-    from veldspar.plans import context, extraction, graphs, impact, problems, relational, resolver, review, texts
+    from veldspar.plans import audit, context, extraction, graphs, impact, problems, relational, resolver, review, texts
 
-    return [problems, graphs, relational, texts, extraction, impact, resolver, review, context]
+    return [problems, graphs, relational, texts, extraction, impact, resolver, review, context, audit]

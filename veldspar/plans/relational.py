@@ -93,20 +93,6 @@ def a_severity_counts(spark, d):
     return F.broadcast(bands).join(f, "band", "left").select("band", F.coalesce("n", F.lit(0)).alias("n"))
 
 
-@query(f"select repo, least(100, least(40, 4 * count(*) filter (severity >= 8 and not isnan(severity))) + least(30, 2 * count(*) filter (severity >= 6 and severity < 8)) + least(30, count(*))) as risk from {_RECORDS} group by 1")
-def a_risk(spark, d):
-    """Capped weighted sum of the findings of each repository."""
-    s = F.col("severity")
-    ok = s.isNotNull() & ~F.isnan(s)
-    return _findings(spark, d).groupBy("repo").agg(F.least(F.lit(100), F.least(F.lit(40), F.count_if(ok & (s >= 8)) * 4) + F.least(F.lit(30), F.count_if(ok & (s >= 6) & (s < 8)) * 2) + F.least(F.lit(30), _N())).alias("risk"))
-
-
-@query(f"select repo, greatest(0, 100 - least(40, count(*) filter (category = 'security') * 5) - least(30, count(*) filter (category = 'correctness') * 2) - least(30, count(distinct owning_fqn))) as health from {_RECORDS} group by 1")
-def a_health(spark, d):
-    f = _findings(spark, d)
-    return f.groupBy("repo").agg(F.greatest(F.lit(0), F.lit(100) - F.least(F.lit(40), F.count_if(F.expr("category = 'security'")) * 5) - F.least(F.lit(30), F.count_if(F.expr("category = 'correctness'")) * 2) - F.least(F.lit(30), F.count_distinct("owning_fqn"))).alias("health"))
-
-
 @query(
     f"""with t as (select distinct repo, file, subcategory k from {_RECORDS} where source = 'human_review'), a as (select distinct repo, file, subcategory k from {_RECORDS} where source = 'llm_judged'),
 j as (select coalesce(t.repo, a.repo) repo, count(*) filter (t.k is not null and a.k is not null) tp, count(*) filter (t.k is null) fp, count(*) filter (a.k is null) fn from t full join a on t.repo = a.repo and t.file = a.file and t.k = a.k group by 1)
@@ -123,12 +109,6 @@ def a_eval_metrics(spark, d):
     return j.select("repo", "tp", "fp", "fn", rate("fp").alias("prec"), rate("fn").alias("recall"))
 
 
-@query("select changed_node_id as node_id, change_type, count(*) as n_calls, count(distinct node_id) as n_callers, count(*) filter (broken) as n_broken from (select distinct * from callers) group by 1, 2")
-def a_pr_metrics(spark, d):
-    """Calls, callers and broken calls of each changed node."""
-    return table(spark, d, "callers").distinct().groupBy(F.col("changed_node_id").alias("node_id"), "change_type").agg(_N().alias("n_calls"), F.count_distinct("node_id").alias("n_callers"), F.count_if("broken").alias("n_broken"))
-
-
 @query(f"with f as (select {sql_id('dst')} id, count(*) n from edges where upper(trim(type)) = 'CALLS' group by 1) select id, n as n_callers, case when n >= 15 then 'high' when n >= 6 then 'medium' else 'low' end as band from f where id is not null")
 def a_breakage(spark, d):
     n = F.col("n_callers")
@@ -155,16 +135,6 @@ def a_module_key(spark, d):
     return hit.select("repo", "relpath", F.coalesce("r", F.split("relpath", "/")[0]).alias("module"))
 
 
-@query(f"with {sql_nodes('repo', 'component_role', 'kind')}, {sql_calls()}, s as (select coalesce(a.component_role, a.kind) || '>' || coalesce(b.component_role, b.kind) shape, a.id x from calls join cur a on a.id = src join cur b on b.id = dst where a.repo = b.repo) select shape, count(*) as n, array_to_string(list_sort(list(distinct x))[:3], ',') as examples from s where shape is not null group by 1")
-def a_shape_counts(spark, d):
-    """Pairs of roles that call each other, with three examples."""
-    n = current_nodes(spark, d, "repo", "component_role", "kind").withColumn("role", F.coalesce("component_role", "kind"))
-    e = calls(spark, d).where("src is not null and dst is not null").distinct()
-    s = e.join(n.select(F.col("id").alias("src"), F.col("repo").alias("ra"), F.col("role").alias("a")), "src").join(n.select(F.col("id").alias("dst"), F.col("repo").alias("rb"), F.col("role").alias("b")), "dst").where("ra = rb").select(F.concat("a", F.lit(">"), "b").alias("shape"), "src").where("shape is not null")
-    few = s.distinct().withColumn("r", F.row_number().over(W.partitionBy("shape").orderBy("src"))).where("r <= 3").groupBy("shape").agg(F.array_join(F.sort_array(F.collect_list("src")), ",").alias("examples"))
-    return s.groupBy("shape").agg(_N().alias("n")).join(few, "shape")
-
-
 # windows and rankings
 
 
@@ -256,13 +226,6 @@ def w_topn_rest(spark, d):
     return rk.top_with_rest(_findings(spark, d).select("repo", "ord", "blast_count"), ["repo"], [F.desc_nulls_last("blast_count"), F.col("ord")], 5).select("repo", "ord", "rank", "n_rest")
 
 
-@query("with c as (select target_name t, count(*) n from (select distinct ref_id, target_name from refs) where target_name is not null group by 1), a as (select t, n, row_number() over (order by n desc, t) h, row_number() over (order by n, t) r from c) select distinct t as target, n from a where h <= 16 or r <= 4")
-def w_head_tail(spark, d):
-    """The sixteen commonest and the four rarest referenced names."""
-    c = table(spark, d, "refs").select("ref_id", F.col("target_name").alias("target")).distinct().where("target is not null").groupBy("target").agg(_N().alias("n"))
-    return c.orderBy(F.desc("n"), "target").limit(16).unionByName(c.orderBy("n", "target").limit(4)).distinct()
-
-
 @query("with c as (select changed_node_id, node_id, count(*) n from (select distinct * from callers) group by 1, 2) select changed_node_id, node_id, n, rank, case when rank <= 4 then 'source' else 'signature' end as shows from (select *, row_number() over (partition by changed_node_id order by n desc, node_id) rank from c) where rank <= 12")
 def w_caller_rank(spark, d):
     """Callers of a changed node by their calls: four with source, up to twelve by signature."""
@@ -330,13 +293,6 @@ def u_title_dedupe(spark, d):
     return f.groupBy("repo", "file", "line", "head").agg(F.min("ord").alias("ord"))
 
 
-@query(f"with p as (select distinct repo, owning_fqn from {_RECORDS} where source = 'graph_proven') select f.ord from {_RECORDS} f left join p on p.repo = f.repo and p.owning_fqn = f.owning_fqn where f.source = 'llm_judged' and p.repo is null")
-def u_family_dedupe(spark, d):
-    """Judged findings of functions for which none is proven."""
-    f = _findings(spark, d)
-    return f.where("source = 'llm_judged'").join(f.where("source = 'graph_proven'").select("repo", "owning_fqn").distinct(), ["repo", "owning_fqn"], "left_anti").select("ord")
-
-
 @query(f"select ord, row_number() over (order by case upper(trim(severity_label)) when 'CRITICAL' then 0 when 'HIGH' then 1 when 'MEDIUM' then 2 when 'LOW' then 3 else 4 end, ord) as pos from {_RECORDS} order by pos limit 100")
 def o_severity(spark, d):
     """The hundred gravest findings in order."""

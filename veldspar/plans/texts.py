@@ -124,23 +124,11 @@ def f_describe(spark, d):
 # sources and writes
 
 
-@query("select coalesce(lower(split_part(replace(trim(lang), '_', '-'), '-', 1)), 'none') as lang, count(*) as n from documents group by 1")
-def src_lang_counts(spark, d):
-    lang = F.coalesce(F.lower(F.split(F.translate(F.trim("lang"), "_", "-"), "-")[0]), F.lit("none"))
-    return table(spark, d, "documents").groupBy(lang.alias("lang")).agg(_N().alias("n"))
-
-
 @query("select doc_id, left(array_to_string(string_split(text, chr(10))[3:8], chr(10)), 4000) as part from documents where text is not null")
 def src_line_slice(spark, d):
     return table(spark, d, "documents").where("text is not null").select("doc_id", tx.line_slice(F.col("text"), F.lit(3), F.lit(8), 4000).alias("part"))
 
 
-@query("select doc_id, relpath, case when relpath is null or contains(relpath, '..') or starts_with(relpath, '/') then null else left(text, 80) end as part from documents where text is not null")
-def src_guarded_slice(spark, d):
-    r = F.col("relpath")
-    return table(spark, d, "documents").where("text is not null").select("doc_id", "relpath", F.when(~(r.contains("..") | r.startswith("/")), F.substring("text", 1, 80)).alias("part"))
-
-
 @query("select distinct repo, left(regexp_replace(repo || '/x y', '[^A-Za-z0-9._-]+', '-', 'g'), 64) as safe from files")
 def src_safe_name(spark, d):
     return table(spark, d, "files").select("repo").distinct().select("repo", F.substring(F.regexp_replace(F.concat("repo", F.lit("/x y")), r"[^A-Za-z0-9._-]+", "-"), 1, 64).alias("safe"))
@@ -194,13 +182,6 @@ def sink_edge_rel_map(spark, d):
     return table(spark, d, "edges").groupBy(t.alias("type"), F.when(t.isin("CALLS", "IMPORTS", "EXTENDS", "CONTAINS", "INSTANTIATES"), t).otherwise("CALLS").alias("rel")).agg(_N().alias("n"))
 
 
-@query(f"select repo, string_agg(line, chr(10) order by line) as report from (select repo, '- ' || coalesce(category, 'none') || ': ' || count(*) line from {_RECORDS} group by repo, category) group by 1")
-def sink_report_lines(spark, d):
-    """A report block per repository."""
-    c = _findings(spark, d).groupBy("repo", "category").agg(_N().alias("n")).select("repo", F.concat(F.lit("- "), F.coalesce("category", F.lit("none")), F.lit(": "), F.col("n").cast("string")).alias("line"))
-    return c.groupBy("repo").agg(F.array_join(F.sort_array(F.collect_list("line")), "\n").alias("report"))
-
-
 # predicates
 
 
@@ -221,25 +202,6 @@ def p_similar_names(spark, d):
     return current_nodes(spark, d, "kind", "name").where(F.expr("kind = 'method' and contains(name, 'queue')")).orderBy("name", "id").limit(25).select("id", "name")
 
 
-@query("select distinct repo, relpath, regexp_matches(relpath, '(^|/)(vendor|dist|build|legacy)/') as excluded, regexp_matches(relpath, '(^|/)(tests?/|test_[^/]*$)') as is_test from files")
-def p_path_filter(spark, d):
-    r = F.col("relpath")
-    return table(spark, d, "files").select("repo", "relpath", r.rlike(r"(^|/)(vendor|dist|build|legacy)/").alias("excluded"), r.rlike(r"(^|/)(tests?/|test_[^/]*$)").alias("is_test")).distinct()
-
-
-@query(f"with {sql_nodes('name', 'file')} select id, name from cur where regexp_matches(lower(coalesce(name, '') || ' ' || coalesce(file, '')), 'auth|token|session|billing|pricing')")
-def p_sensitive(spark, d):
-    n = current_nodes(spark, d, "name", "file")
-    return n.where(F.concat_ws(" ", F.coalesce("name", F.lit("")), F.coalesce("file", F.lit(""))).rlike("(?i)auth|token|session|billing|pricing")).select("id", "name")
-
-
-@query(f"with {sql_nodes('label', 'name', 'package')} select id, case when name like '%Service' then 'service' when name like '%Store' then 'repository' when name like '%View' then 'controller' when package like '%api%' then 'controller' else 'component' end as role from cur where label = 'Class'")
-def p_roles(spark, d):
-    """Ordered rules for the role of a class: suffixes, then the package."""
-    n = F.col("name")
-    return current_nodes(spark, d, "label", "name", "package").where("label = 'Class'").select("id", F.when(n.endswith("Service"), "service").when(n.endswith("Store"), "repository").when(n.endswith("View"), "controller").when(F.col("package").contains("api"), "controller").otherwise("component").alias("role"))
-
-
 @query(f"with {sql_nodes('kind', 'label', 'confidence')} select id, lower(trim(coalesce(nullif(kind, ''), label, ''))) as kind, case lower(coalesce(confidence, '')) when 'extracted' then 'EXTRACTED' when 'ambiguous' then 'AMBIGUOUS' else 'INFERRED' end as confidence from cur")
 def p_contract(spark, d):
     c = F.lower(F.coalesce("confidence", F.lit("")))
@@ -369,20 +331,6 @@ def j_ordered_lookup(spark, d):
 # text extraction
 
 
-@query("select doc_id, regexp_extract(text, '[0-9a-f]{10}') as first_hash from documents where regexp_matches(text, '(?i)(token|secret|password|api_key)\\s*[=:]\\s*[\"''][^\"'']{8,}') or regexp_matches(text, '\\b[0-9a-f]{40}\\b')")
-def x_secrets(spark, d):
-    """Texts with what looks like a credential."""
-    t = F.col("text")
-    return table(spark, d, "documents").where(t.rlike(r"(?i)(token|secret|password|api_key)\s*[=:]\s*[\"'][^\"']{8,}") | t.rlike(r"\b[0-9a-f]{40}\b")).select("doc_id", F.regexp_extract("text", "[0-9a-f]{10}", 0).alias("first_hash"))
-
-
-@query("with r as (select doc_id, unnest(regexp_extract_all(text, '@app\\.(get|post|put|delete|route)\\([\"''](/[^\"'']*)[\"'']', 2)) route from documents where text is not null) select route, count(*) as n, count(distinct doc_id) as n_docs from r group by 1")
-def x_route_regex(spark, d):
-    """Route definitions in texts."""
-    r = table(spark, d, "documents").where("text is not null").select("doc_id", F.explode(F.regexp_extract_all("text", F.lit(r"@app\.(get|post|put|delete|route)\([\"'](/[^\"']*)[\"']"), F.lit(2))).alias("route"))
-    return r.groupBy("route").agg(_N().alias("n"), F.count_distinct("doc_id").alias("n_docs"))
-
-
 _CURRENT_TEXT = "(select repo, relpath, max_by(text, last_indexed) t from (select repo, relpath, text, last_indexed from files where text is not null) group by 1, 2)"
 
 
