@@ -269,3 +269,142 @@ def u_family_dedupe(spark, d):
     p = fam.where("source = 'graph_proven'").select("repo", "owning_fqn", "f").distinct()
     judged = F.coalesce(F.col("source") == "llm_judged", F.lit(False))
     return fam.where(~judged).select("ord").unionByName(fam.where(judged).join(p, ["repo", "owning_fqn", "f"], "left_anti").select("ord"))
+
+
+@query(f"with {_ND}, f as (select {sql_id('dst')} id, count(*) n from edges where upper(trim(type)) = 'CALLS' group by 1), s as (select nd.id, nd.name, coalesce(f.n, 0) fan_in, coalesce(f.n, 0) + case when nd.route is not null or nd.component_role = 'controller' then 5 else 0 end + case when regexp_matches(lower(coalesce(nd.name, '')), '{_WORDS['auth']}') then 3 else 0 end score from nd left join f on f.id = nd.id where label in ('Function', 'Class')) select id, name, fan_in, score from s order by score desc, id limit 20")
+def w_hotspots(spark, d):
+    """The twenty hottest definitions: calls, 5 more for entry points, 3 for sensitive names."""
+    fan = calls(spark, d).where("dst is not null").groupBy(F.col("dst").alias("id")).agg(_N().alias("n"))
+    n = nodes(spark, d).where("label in ('Function', 'Class')").join(fan, "id", "left").withColumn("fan_in", F.coalesce("n", F.lit(0)))
+    entry = F.coalesce(F.col("route").isNotNull() | (F.col("component_role") == "controller"), F.lit(False))
+    score = F.col("fan_in") + F.when(entry, 5).otherwise(0) + F.when(F.lower(F.coalesce("name", F.lit(""))).rlike(_WORDS["auth"]), 3).otherwise(0)
+    return n.select("id", "name", "fan_in", score.alias("score")).orderBy(F.desc("score"), "id").limit(20)
+
+
+_CAPS = "case label when 'Package' then 80 when 'Class' then 60 else 40 end"
+
+
+@query(f"with {sql_nodes('label', 'name', 'fan_in', 'visibility')}, par as (select distinct {sql_id('src')} p, {sql_id('dst')} c from edges where upper(trim(type)) in ('CONTAINS', 'DEFINES')), m as (select o.id, o.label, k.name, row_number() over (partition by o.id order by coalesce(k.visibility, '') <> 'public', coalesce(k.fan_in, 0) desc, k.name, k.id) r, count(*) over (partition by o.id) n from par join cur o on o.id = par.p join cur k on k.id = par.c) select id, coalesce(string_agg(name, ', ' order by r) filter (r <= {_CAPS}), '') || case when max(n) > max({_CAPS}) then ' … and ' || (max(n) - max({_CAPS})) || ' more' else '' end as members from m group by id")
+def w_capped_list(spark, d):
+    """Members of a container, public and much called ones first: 80 of a package, 60 of a class, 40 of others."""
+    n = checkpointed(current_nodes(spark, d, "label", "name", "fan_in", "visibility"))
+    own = graph.pairs(calls(spark, d, "CONTAINS", "DEFINES")).join(n.select(F.col("id").alias("src"), F.col("label").alias("kind")), "src").join(n.withColumnRenamed("id", "dst"), "dst")
+    w = W.partitionBy("src").orderBy(F.coalesce("visibility", F.lit("")) != "public", F.desc(F.coalesce("fan_in", F.lit(0))), "name", "dst")
+    cap = F.when(F.col("kind") == "Package", 80).when(F.col("kind") == "Class", 60).otherwise(40)
+    top = own.withColumn("r", F.row_number().over(w)).withColumn("cap", cap).groupBy(F.col("src").alias("id")).agg(_N().alias("n"), F.max("cap").alias("cap"), F.sort_array(F.collect_list(F.when((F.col("r") <= F.col("cap")) & F.col("name").isNotNull(), F.struct("r", "name")))).alias("m"))
+    more = F.when(F.col("n") > F.col("cap"), F.concat(F.lit(" … and "), (F.col("n") - F.col("cap")).cast("string"), F.lit(" more"))).otherwise("")
+    return top.select("id", F.concat(F.array_join(F.transform("m", lambda s: s["name"]), ", "), more).alias("members"))
+
+
+_PROVEN = ("taint", "audit", "impact")
+
+
+@query(f"with r as (select distinct ord, file, provenance from findings) select ord from r where provenance in {_PROVEN} and not regexp_matches(lower(replace(coalesce(file, ''), chr(92), '/')), 'path/to/|example\\.py|your_file|placeholder')")
+def p_publishable(spark, d):
+    """Findings whose provenance is a graph and whose path is no placeholder."""
+    path = F.lower(F.regexp_replace(F.coalesce("file", F.lit("")), r"\\", "/"))
+    r = table(spark, d, "findings").select("ord", "file", "provenance").distinct()
+    return r.where(F.col("provenance").isin(*_PROVEN) & ~path.rlike(r"path/to/|example\.py|your_file|placeholder")).select("ord")
+
+
+_GRADE = "case when model_severity is null or isnan(model_severity) then 5.0 else greatest(0.0, least(10.0, model_severity)) end"
+
+
+@query(f"with r as (select distinct ord, title, message, category, source, line, file, owning_fqn, model_severity from findings) select ord, trim(title) as title, coalesce(nullif(trim(category), ''), 'correctness') as category, coalesce(nullif(trim(source), ''), 'llm_judged') as source, greatest(coalesce(line, 0), 0) as line, coalesce(nullif(trim(file), ''), '?') as file, coalesce(nullif(trim(owning_fqn), ''), nullif(trim(file), ''), '?') as owner, {_GRADE} as severity from r where trim(coalesce(title, '')) <> '' and trim(coalesce(message, '')) <> ''")
+def p_coerce_findings(spark, d):
+    """Findings with what a finding must have: title and message required, defaults, a clamped grade, file and owner."""
+    r = table(spark, d, "findings").select("ord", "title", "message", "category", "source", "line", "file", "owning_fqn", "model_severity").distinct().where("trim(coalesce(title, '')) <> '' and trim(coalesce(message, '')) <> ''")
+    filled = lambda c: F.nullif(F.trim(c), F.lit(""))
+    m = F.col("model_severity")
+    grade = F.when(m.isNull() | F.isnan(m), 5.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(10.0), m)))
+    return r.select(
+        "ord", F.trim("title").alias("title"), F.coalesce(filled("category"), F.lit("correctness")).alias("category"), F.coalesce(filled("source"), F.lit("llm_judged")).alias("source"), F.greatest(F.coalesce("line", F.lit(0)), F.lit(0)).alias("line"),
+        F.coalesce(filled("file"), F.lit("?")).alias("file"), F.coalesce(filled("owning_fqn"), filled("file"), F.lit("?")).alias("owner"), grade.alias("severity"),
+    )
+
+
+@query(f"with {_ND}, k as (select repo, file, case when route is not null then 'route' when label = 'Class' and regexp_matches(name, '(Model|Table|Entity)$') then 'table' when label = 'Function' and regexp_matches(name, '^(on|handle|emit|publish)_') then 'event' when label in ('Function', 'Class') then 'definition' end kind, name from nd where file is not null) select repo, file, kind, count(*) as n, min(name) as first_name from k where kind is not null group by 1, 2, 3")
+def p_kinds(spark, d):
+    """Routes, tables, events and definitions of each file."""
+    fn, cls = F.col("label") == "Function", F.col("label") == "Class"
+    kind = F.when(F.col("route").isNotNull(), "route").when(cls & F.col("name").rlike("(Model|Table|Entity)$"), "table").when(fn & F.col("name").rlike("^(on|handle|emit|publish)_"), "event").when(fn | cls, "definition")
+    return nodes(spark, d).where("file is not null").withColumn("kind", kind).where("kind is not null").groupBy("repo", "file", "kind").agg(_N().alias("n"), F.min("name").alias("first_name"))
+
+
+_RULES = "case when b.p is not null then 'exact' when r.p <> r.c and e.p is not null then 'relative' when s.n = 1 then 'suffix' when u.n = 1 then 'basename' else 'none' end"
+
+
+@query(f"with f as (select distinct repo, relpath p from files), r as (select distinct repo, file p, regexp_replace(replace(file, chr(92), '/'), '^(\\./|/)+', '') c from findings where file is not null and repo is not null), sx as (select r.repo, r.p, count(*) n from r join f on f.repo = r.repo and ends_with(f.p, '/' || r.c) group by 1, 2), bx as (select repo, regexp_extract(p, '[^/]*$') base, count(*) n from f group by 1, 2) select r.repo, r.p as path, {_RULES} as rule from r left join f b on b.repo = r.repo and b.p = r.p left join f e on e.repo = r.repo and e.p = r.c left join sx s on s.repo = r.repo and s.p = r.p left join bx u on u.repo = r.repo and u.base = regexp_extract(r.c, '[^/]*$')")
+def j_path_match(spark, d):
+    """Paths in findings matched to files: exactly, cleaned, by a unique ending, by a unique base name."""
+    f = table(spark, d, "files").select("repo", F.col("relpath").alias("f")).distinct()
+    r = table(spark, d, "findings").where("file is not null and repo is not null").select("repo", F.col("file").alias("path")).distinct().withColumn("c", tx.clean_path(F.col("path")))
+    base = lambda c: F.element_at(F.split(c, "/"), -1)
+    hit = lambda name, c: f.select("repo", F.col("f").alias(c), F.lit(True).alias(name))
+    # an ending shares its base name, so that is the key of the join
+    ends = r.withColumn("base", base(F.col("c"))).join(f.withColumn("base", base(F.col("f"))), ["repo", "base"]).where(F.col("f").endswith(F.concat(F.lit("/"), "c"))).groupBy("repo", "path").agg(_N().alias("n_ends"))
+    bases = f.groupBy("repo", base(F.col("f")).alias("base")).agg(_N().alias("n_base"))
+    j = r.withColumn("base", base(F.col("c"))).join(hit("exact", "path"), ["repo", "path"], "left").join(hit("clean", "c"), ["repo", "c"], "left").join(ends, ["repo", "path"], "left").join(bases, ["repo", "base"], "left")
+    return j.select("repo", "path", F.when(F.col("exact"), "exact").when((F.col("path") != F.col("c")) & F.col("clean"), "relative").when(F.col("n_ends") == 1, "suffix").when(F.col("n_base") == 1, "basename").otherwise("none").alias("rule"))
+
+
+@query(f"with {_ND}, r as (select distinct ref_id, upper(trim(type)) ty, repo, recv, nullif(trim(target_name, ' ' || chr(9) || chr(10) || chr(13)), '') t from refs), x as (select repo, name k, id from nd union select repo, fqn, id from nd), full_ as (select r.ref_id, count(distinct x.id) n from r join x on x.repo = r.repo and x.k = r.t group by 1), tail as (select r.ref_id, count(distinct x.id) n from r join x on x.repo = r.repo and x.k = regexp_extract(r.t, '[^.#]*$') group by 1) select r.ref_id, case when ty = 'CALLS' and coalesce(recv, '') not in ('', 'self', 'cls') and coalesce(f.n, 0) <> 1 then 'REFERENCES' else ty end as type, case when f.n is not null then 'full' when l.n is not null then 'tail' else 'none' end as found_by, coalesce(f.n, l.n, 0) as n from r left join full_ f using (ref_id) left join tail l using (ref_id) where t is not null")
+def j_demote(spark, d):
+    """References by full name, else by its tail; a call on an unknown receiver that is not certain is demoted to a reference."""
+    r = checkpointed(table(spark, d, "refs").select("ref_id", F.upper(trimmed("type")).alias("ty"), "repo", "recv", trimmed("target_name").alias("t")).where("t is not null").distinct())
+    x = checkpointed(nodes(spark, d).select("repo", "id", F.explode(F.array_distinct(F.array("name", "fqn"))).alias("t")).where("t is not null").distinct())
+    by = lambda rows, n: rows.join(x, ["repo", "t"]).groupBy("ref_id").agg(F.count_distinct("id").alias(n))
+    j = r.join(by(r.select("ref_id", "repo", "t"), "f"), "ref_id", "left").join(by(r.select("ref_id", "repo", tx.tail_name(F.col("t")).alias("t")), "l"), "ref_id", "left")
+    vague = (F.col("ty") == "CALLS") & ~F.coalesce("recv", F.lit("")).isin("", "self", "cls") & (F.coalesce("f", F.lit(0)) != 1)
+    return j.select("ref_id", F.when(vague, "REFERENCES").otherwise(F.col("ty")).alias("type"), F.when(F.col("f").isNotNull(), "full").when(F.col("l").isNotNull(), "tail").otherwise("none").alias("found_by"), F.coalesce("f", "l", F.lit(0)).alias("n"))
+
+
+@query(f"with recursive links as (select distinct {sql_id('src')} a, {sql_id('dst')} b from edges where upper(trim(type)) in ('EXTENDS', 'IMPORTS', 'CONTAINS', 'BELONGS_TO', 'USES') and {sql_id('src')} is not null and {sql_id('dst')} is not null), core as (select a, b from links where a in (select b from links) and b in (select a from links)), w(a, b) as (select a, b from core union select w.a, core.b from w join core on core.a = w.b) select min(w.b) as cycle, w.a as node from w join w x on x.a = w.b and x.b = w.a group by 2")
+def g_cycles(spark, d):
+    """Nodes that import, use, extend or hold each other, through any number of others, by the least of the group."""
+    from veldspar.operators.hierarchy import find_cycles
+
+    e = table(spark, d, "edges").where(F.upper(trimmed("type")).isin("EXTENDS", "IMPORTS", "CONTAINS", "BELONGS_TO", "USES")).select(F.lit("CONTAINS").alias("type"), "src", "dst", "repo")
+    return find_cycles(e).select(F.col("cycle_id").alias("cycle"), F.col("node_id").alias("node"))
+
+
+@query(f"with recursive {_CHG}, lk as materialized (select distinct {sql_id('src')} a, {sql_id('dst')} b from edges where upper(trim(type)) in ('CALLS', 'INSTANTIATES') and {sql_id('src')} in (select id from chg) and {sql_id('dst')} in (select id from chg)), p(path) as (select [id] from chg union all select list_append(path, lk.b) from p join lk on lk.a = path[1] and false union all select list_append(path, lk.b) from p join lk on lk.a = path[-1] where len(path) < 4 and not list_contains(path, lk.b)) select path[1] as start, max(len(path)) as n_nodes from p group by 1".replace("select list_append(path, lk.b) from p join lk on lk.a = path[1] and false union all ", ""))
+def g_longest_path(spark, d):
+    """The longest way from each changed definition through other changed ones, four nodes at most."""
+    ids = changed(spark, d).select(F.col("id").alias("node"))
+    e = calls(spark, d, "CALLS", "INSTANTIATES").join(ids.withColumnRenamed("node", "src"), "src", "left_semi").join(ids.withColumnRenamed("node", "dst"), "dst", "left_semi")
+    p = graph.simple_paths(e, ids, 3).groupBy(F.col("path")[0].alias("start")).agg(F.max(F.size("path")).alias("n"))
+    return ids.withColumnRenamed("node", "start").join(p, "start", "left").select("start", F.coalesce("n", F.lit(1)).alias("n_nodes"))
+
+
+@query(f"with {_ND}, oc as (select distinct repo, evidence_file f, evidence_line l, {sql_id('dst')} t from edges where evidence_line > 0), hit as (select oc.*, exists (select 1 from nd where nd.repo = oc.repo and nd.file = regexp_replace(replace(oc.f, chr(92), '/'), '^(\\./|/)+', '') and nd.label = 'Function' and oc.l between nd.start_line and nd.end_line) inside, t in (select id from nd) known from oc) select count(*) as occurrences, count(*) filter (inside) as inside_functions, count(*) filter (known) as known_targets, count(distinct f) as documents from hit")
+def a_scip(spark, d):
+    """Counters of the index: occurrences, those inside functions, those of known symbols, documents."""
+    e = table(spark, d, "edges").where("evidence_line > 0").select("repo", "evidence_file", "evidence_line", F.coalesce(norm_id("dst"), F.lit("")).alias("t")).distinct()
+    n = checkpointed(nodes(spark, d).select("id", "repo", "file", "label", "start_line", "end_line"))
+    o = checkpointed(e.withColumn("file", tx.clean_path(F.col("evidence_file"))))
+    key = ["repo", "evidence_file", "evidence_line", "t"]
+    inside = o.join(n.where("label = 'Function'").drop("id", "label"), ["repo", "file"]).where("evidence_line between start_line and end_line").select(*key).distinct().withColumn("i", F.lit(True))
+    known = n.select(F.col("id").alias("t"), F.lit(True).alias("k"))
+    return o.join(inside, key, "left").join(known, "t", "left").agg(_N().alias("occurrences"), F.count_if("i").alias("inside_functions"), F.count_if("k").alias("known_targets"), F.count_distinct("evidence_file").alias("documents"))
+
+
+@query(f"with recursive {_CHG}, lk as (select distinct {sql_id('src')} a, {sql_id('dst')} b from edges where upper(trim(type)) in ('CALLS', 'INSTANTIATES', 'EXTENDS', 'OVERRIDES') and {sql_id('src')} in (select id from chg) and {sql_id('dst')} in (select id from chg)), sym as (select a, b from lk union select b, a from lk), cc(x, c) as (select id, id from chg union select sym.b, cc.c from cc join sym on sym.a = cc.x), cl as (select x id, min(c) cluster from cc group by 1) select cluster, '# Cluster of ' || count(*) || ' changes' || chr(10) || string_agg('- ' || coalesce(nd.fqn, nd.name, '?') || ' (' || chg.change_type || ')', chr(10) order by nd.id) as prompt from cl join chg using (id) join nd using (id) group by 1")
+def l_impact_prompts(spark, d):
+    """A prompt per cluster of changes: its members and how they change."""
+    from veldspar.plans.review import clusters
+
+    c = changed(spark, d)
+    j = clusters(spark, d, c).join(c.select(F.col("id").alias("node"), "change_type"), "node").join(nodes(spark, d).select(F.col("id").alias("node"), "fqn", "name"), "node")
+    line = F.concat(F.lit("- "), F.coalesce("fqn", "name", F.lit("?")), F.lit(" ("), "change_type", F.lit(")"))
+    return j.groupBy("cluster").agg(F.concat(F.lit("# Cluster of "), _N().cast("string"), F.lit(" changes\n"), F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("node", line.alias("t")))), lambda x: x["t"]), "\n")).alias("prompt"))
+
+
+@query("with c as (select distinct chunk_id, repo, file_path, dossier from chunks where dossier is not null and dossier <> ''), f as (select repo, file_path, regexp_extract(dossier, '^[^\\n]*') title, min(chunk_id) chunk_id from c group by 1, 2, 3) select repo, file_path, title, chunk_id, 'info' as severity from f where title <> ''")
+def l_review(spark, d):
+    """A whole review with the provider that needs no model: chunk by chunk, repeated findings of a file once."""
+    from veldspar.operators import provider
+
+    c = checkpointed(table(spark, d, "chunks").where("dossier is not null and dossier <> ''").select("chunk_id", "repo", "file_path", "dossier").distinct())
+    found = provider.completed(c, "chunk_id", "dossier", provider.FirstLine()).join(c.select("chunk_id", "repo", "file_path"), "chunk_id")
+    return found.groupBy("repo", "file_path", "title").agg(F.min("chunk_id").alias("chunk_id"), F.max("severity").alias("severity"))

@@ -117,14 +117,6 @@ def g_shortest_path(spark, d):
 _PATHS = f"with recursive {TRADE}, p(path) as (select [src] from (select distinct src from trade) union all select list_append(path, t.dst) from p join trade t on t.src = path[-1] where len(path) < 4 and not list_contains(path, t.dst))"
 
 
-@query(_PATHS + " select path[-1] as node, max(len(path)) as n_nodes, count(*) as n_paths from p where len(path) > 1 group by 1")
-def g_longest_path(spark, d):
-    """Longest simple path of at most four nodes that ends in each nation."""
-    e = trade_edges(spark, d)
-    p = graph.simple_paths(e, e.select(F.col("src").alias("node")), 3)
-    return p.groupBy(F.element_at("path", -1).alias("node")).agg(F.max(F.size("path")).alias("n_nodes"), F.count(F.lit(1)).alias("n_paths"))
-
-
 @query(_PATHS + ", q as (select row_number() over () i, path from p where len(path) = 4), u as (select i, unnest(path) n, unnest(range(1, 5)) k from q), s as (select i, string_agg(r_name, '>' order by k) shape from u join nation on n_nationkey = n join region on r_regionkey = n_regionkey group by 1) select shape, count(*) as n from s group by 1")
 def g_path_shapes(spark, d):
     """Paths of four nations collapsed to the sequence of their regions."""
@@ -138,14 +130,6 @@ def g_path_shapes(spark, d):
 _CYCLES = "with recursive {g}, p(path) as (select [src, dst] from {t} where src < dst union all select list_append(path, t.dst) from p join {t} t on t.src = path[-1] where len(path) < {n} and t.dst > path[1] and not list_contains(path, t.dst)), c as (select path from p join {t} t on t.src = path[-1] and t.dst = path[1]) select array_to_string(path, ',') as cycle, len(path) as length from c"
 
 
-@query(_CYCLES.format(g=TRADE, t="trade", n=6))
-def g_cycles(spark, d):
-    c = graph.simple_cycles(trade_edges(spark, d), 6)
-    return c.select(F.array_join(F.transform("cycle", lambda x: x.cast("string")), ",").alias("cycle"), "length")
-
-
-
-
 def _module(c="file"):
     from veldspar.functions.text import path_segments
 
@@ -279,13 +263,6 @@ def j_deadcode(spark, d):
     return n.join(graph.pairs(calls(spark, d)).select(F.col("dst").alias("id")).distinct(), "id", "left_anti").select("id", "name")
 
 
-@query(f"with {sql_calls('CALLS', 'EXTENDS', 'ANNOTATED_WITH', 'CONTAINS')}, {sql_nodes('name', 'label')}, n as (select cur.*, fi from cur left join (select {sql_id('dst')} id, count(*) fi from edges where upper(trim(type)) = 'CALLS' group by 1) using (id)) select id, name, label, coalesce(fi, 0) as fan_in from n where fi is not null order by fan_in desc, id limit 20")
-def w_hotspots(spark, d):
-    """The twenty most called nodes."""
-    fan = calls(spark, d).where("dst is not null").groupBy(F.col("dst").alias("id")).agg(F.count(F.lit(1)).alias("fan_in"))
-    return current_nodes(spark, d, "name", "label").join(fan, "id").orderBy(F.desc("fan_in"), "id").limit(20).select("id", "name", "label", "fan_in")
-
-
 @query(f"with {sql_nodes('name')}, e as (select distinct ord, {sql_id('src')} s, {sql_id('dst')} t, upper(trim(type)) ty from edges) select 'out' as direction, e.ty as type, cur.id as node_id, cur.name, x.id as far_id from e join cur on cur.id = e.s join cur x on x.id = e.t where cur.name = 'queue' union all select 'in', e.ty, cur.id, cur.name, x.id from e join cur on cur.id = e.t join cur x on x.id = e.s where cur.name = 'queue'")
 def j_node_detail(spark, d):
     """All edges of the nodes of one name, with the far node."""

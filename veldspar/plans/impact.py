@@ -111,12 +111,3 @@ def src_requirements(spark, d):
     lines = t.select("repo", F.explode(F.split("t", "\n")).alias("l")).select("repo", F.trim(F.regexp_replace("l", "#.*$", "")).alias("l")).where("l <> '' and l not like '-%'")
     return lines.select("repo", F.lower(F.translate(F.regexp_extract("l", r"^[A-Za-z0-9._-]+", 0), "_", "-")).alias("package")).distinct()
 
-
-@query(f"with {sql_nodes('repo', 'label', 'name')}, r as (select distinct repo, ref_file p from refs where ref_file is not null), b as (select distinct repo, relpath, regexp_extract(relpath, '[^/]*$') base from files), u as (select repo, base, min(relpath) relpath, count(*) n from b group by 1, 2) select r.repo, r.p as path, case when b.relpath is not null then 'exact' when u.n = 1 then 'basename' else 'none' end as rule from r left join b on b.repo = r.repo and b.relpath = r.p left join u on u.repo = r.repo and u.base = regexp_extract(replace(r.p, chr(92), '/'), '[^/]*$')")
-def j_path_match(spark, d):
-    """Paths of references to files: as they are, else by a base name that is unique."""
-    r = table(spark, d, "refs").where("ref_file is not null").select("repo", F.col("ref_file").alias("path")).distinct()
-    f = table(spark, d, "files").select("repo", F.col("relpath").alias("path")).distinct()
-    base = lambda c: F.element_at(F.split(tx.clean_path(F.col(c)), "/"), -1)
-    u = f.groupBy("repo", base("path").alias("base")).agg(F.count(F.lit(1)).alias("n"))
-    return r.join(f.withColumn("hit", F.lit(True)), ["repo", "path"], "left").withColumn("base", base("path")).join(u, ["repo", "base"], "left").select("repo", "path", F.when(F.col("hit"), "exact").when(F.col("n") == 1, "basename").otherwise("none").alias("rule"))

@@ -234,15 +234,6 @@ def w_caller_rank(spark, d):
     return r.withColumn("shows", F.when(F.col("rank") <= 4, "source").otherwise("signature"))
 
 
-@query(f"with {sql_nodes('package', 'repo', 'label', 'name', 'fan_in', 'visibility')}, m as (select repo, package, name, row_number() over (partition by repo, package order by coalesce(visibility, '') <> 'public', coalesce(fan_in, 0) desc, name, id) r, count(*) over (partition by repo, package) n from cur where label = 'Function' and package is not null) select repo, package, string_agg(name, ', ' order by r) filter (r <= 5) || case when max(n) > 5 then ' … and ' || (max(n) - 5) || ' more' else '' end as members from m group by 1, 2")
-def w_capped_list(spark, d):
-    """Members of each package, public and much called ones first, five at most."""
-    n = current_nodes(spark, d, "package", "repo", "label", "name", "fan_in", "visibility").where("label = 'Function' and package is not null")
-    w = W.partitionBy("repo", "package").orderBy(F.coalesce("visibility", F.lit("")) != "public", F.desc(F.coalesce("fan_in", F.lit(0))), "name", "id")
-    top = n.withColumn("r", F.row_number().over(w)).groupBy("repo", "package").agg(_N().alias("n"), F.array_join(F.transform(F.sort_array(F.collect_list(F.when(F.col("r") <= 5, F.struct("r", "name")))), lambda s: s["name"]), ", ").alias("m"))
-    return top.select("repo", "package", F.concat("m", F.when(F.col("n") > 5, F.concat(F.lit(" … and "), (F.col("n") - 5).cast("string"), F.lit(" more"))).otherwise("")).alias("members"))
-
-
 @query("with f as (select repo, relpath, max_by(text, last_indexed) x from (select repo, relpath, text, last_indexed from files where text is not null) group by 1, 2), l as (select repo, relpath, string_split(x, chr(10)) l from f), n as (select repo, relpath, l, unnest(range(1, len(l) + 1)) i from l) select repo, relpath, md5(string_agg(lpad(i::varchar, 5, ' ') || '  ' || l[i], chr(10) order by i)) as numbered from n group by 1, 2")
 def w_number_lines(spark, d):
     """Hash of each current file with its lines numbered."""

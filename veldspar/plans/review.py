@@ -230,13 +230,6 @@ def u_verified(spark, d):
     return by_title.unionByName(r.join(v.select("file", "line").distinct(), ["file", "line"], "left_semi").select("ord")).distinct()
 
 
-@query(f"with {_REC} select ord from rec where provenance in ('confirmed_graph_context', 'graph_file_context', 'graph_context_only', 'deterministic') and not regexp_matches(lower(replace(coalesce(file, ''), chr(92), '/')), 'path/to/|example\\.py|your_file|placeholder')")
-def p_publishable(spark, d):
-    """Findings of a provenance that may be shown, whose path is no placeholder."""
-    path = F.lower(F.regexp_replace(F.coalesce("file", F.lit("")), r"\\", "/"))
-    return _records(spark, d).where(F.col("provenance").isin("confirmed_graph_context", "graph_file_context", "graph_context_only", "deterministic") & ~path.rlike(r"path/to/|example\.py|your_file|placeholder")).select("ord")
-
-
 @query("select distinct f.ord from findings f join (select distinct repo, file_path p from chunks) c on c.repo = f.repo and (f.file = c.p or ends_with(f.file, '/' || c.p) or regexp_extract(replace(f.file, chr(92), '/'), '[^/]*$') = regexp_extract(c.p, '[^/]*$'))")
 def p_in_file(spark, d):
     """Findings in a reviewed file, by its path's end or its base name."""

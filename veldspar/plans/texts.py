@@ -208,13 +208,6 @@ def p_contract(spark, d):
     return current_nodes(spark, d, "kind", "label", "confidence").select("id", F.lower(F.trim(F.coalesce(F.nullif(F.col("kind"), F.lit("")), "label", F.lit("")))).alias("kind"), F.when(c == "extracted", "EXTRACTED").when(c == "ambiguous", "AMBIGUOUS").otherwise("INFERRED").alias("confidence"))
 
 
-@query(f"select ord, trim(title) as title, coalesce(nullif(trim(category), ''), 'correctness') as category, greatest(coalesce(line, 0), 0) as line from {_RECORDS} where trim(coalesce(title, '')) <> '' and trim(coalesce(message, '')) <> ''")
-def p_coerce_findings(spark, d):
-    """Findings with what a finding must have; defaults for the rest."""
-    f = _findings(spark, d).where("trim(coalesce(title, '')) <> '' and trim(coalesce(message, '')) <> ''")
-    return f.select("ord", F.trim("title").alias("title"), F.coalesce(F.nullif(F.trim("category"), F.lit("")), F.lit("correctness")).alias("category"), F.greatest(F.coalesce("line", F.lit(0)), F.lit(0)).alias("line"))
-
-
 @query(f"with {sql_nodes('repo', 'file', 'label', 'start_line', 'end_line')}, l as (select distinct repo, file_path, unnest(added_lines) ln from chunks) select distinct cur.id from cur join l on l.repo = cur.repo and l.file_path = {_PATH.format(c='cur.file')} and ln between start_line and end_line where label in ('Function', 'Class')")
 def p_node_modified(spark, d):
     """Definitions with an added line inside."""
@@ -228,11 +221,6 @@ def p_want_source(spark, d):
     return current_nodes(spark, d, "label", "docstring").where("label = 'Function'").select("id", (F.col("docstring").isNull() | (F.col("docstring") == "")).alias("want_source"))
 
 
-@query(f"with {sql_nodes('label', 'kind', 'repo')} select repo, label, kind, count(*) as n from cur where label in ('Function', 'Class') group by 1, 2, 3")
-def p_kinds(spark, d):
-    return current_nodes(spark, d, "label", "kind", "repo").where("label in ('Function', 'Class')").groupBy("repo", "label", "kind").agg(_N().alias("n"))
-
-
 # joins
 
 
@@ -243,14 +231,6 @@ def j_arity(spark, d):
     return rk.keep_if_any(c, ["ref_id"], F.col("call_arity") == F.col("param_count")).select("ref_id", "id")
 
 
-@query(f"with {_SQL_NAMES}, {_SQL_REFS}, k as (select rf.ref_id, regexp_extract(rf.target, '[^.#]*$') tail from rf left join nm using (repo, target) where nm.id is null and target is not null) select ref_id, tail, count(distinct nm.id) as n from k join rf using (ref_id) left join nm on nm.repo = rf.repo and nm.target = k.tail group by 1, 2")
-def j_demote(spark, d):
-    """References that nothing matches, looked up again by their tail."""
-    n = _names(spark, d).select("repo", "target", "id")
-    lost = _refs(spark, d).where("target is not null").join(n, ["repo", "target"], "left_anti").withColumn("tail", tx.tail_name(F.col("target")))
-    return lost.select("ref_id", "repo", F.col("tail").alias("target")).join(n, ["repo", "target"], "left").groupBy("ref_id", F.col("target").alias("tail")).agg(F.count_distinct("id").alias("n"))
-
-
 @query(f"with {_SQL_NAMES}, {_SQL_REFS}, k as (select ref_id, repo, target from rf where contains(target, '.')), c as (select k.ref_id, cur.id from k join cur on cur.repo = k.repo and cur.name = regexp_extract(k.target, '[^.#]*$') where cur.fqn = k.target or ends_with(cur.fqn, '.' || k.target) or ends_with(k.target, '.' || cur.fqn)) select ref_id, count(*) as n, min(id) as first_id from c group by 1")
 def j_qualified_theta(spark, d):
     """Qualified names against full names that end like them; the tail is the hash key."""
