@@ -14,8 +14,8 @@ names, titles, and words that precede or follow persons add to the score;
 capitalised common words behind ("... Library") and things named after persons
 ("... lens") take from it.
 
-Each document is worked on as a whole in one task, and a kind's patterns run
-only where its trigger occurs; no row is moved. A text without a place comes
+Each document is worked on as a whole in one task; the costly patterns run
+only around signs that a place of their kind must hold. No row is moved. A text without a place comes
 out unchanged.
 
 Nulls: a null text stays null and has no places; an empty one stays empty.
@@ -26,6 +26,7 @@ from __future__ import annotations
 
 import base64
 import functools
+import itertools
 import re
 from collections.abc import Iterator
 
@@ -203,25 +204,50 @@ def _fiscale_ok(s: str) -> bool:
     return (sum(odd[x] for x in at[:15:2]) + sum(even[1:15:2])) % 26 == at[15] - 10
 
 
+def _windows(trigger: re.Pattern, text: str, before: int, after: int) -> Iterator[tuple[int, int]]:
+    """Stretches of the text around what ``trigger`` finds, merged where they meet."""
+    lo = hi = -1
+    for m in trigger.finditer(text):
+        a, z = max(0, m.start() - before), m.end() + after
+        if a > hi:
+            if hi >= 0:
+                yield lo, hi
+            lo = a
+        hi = z
+    if hi >= 0:
+        yield lo, hi
+
+
+_SIGN = re.compile("@")
+# what every spelling of it holds; each choice begins with a plain character, which is quick to look for
+_SPELLED = re.compile("@|" + "|".join(rf"{b}\s?(?:at|AT|At|a|ät|arroba|chez)\s?[\])}}>]" for b in (r"\[", r"\(", r"\{", "<")) + r"|at(?<=\sat)\s|AT(?<=\sAT)\s|At(?<=\sAt)\s|arroba(?<=\sarroba)\s")
+
+
 def _emails(text: str) -> Iterator[tuple[int, int, str, float]]:
-    for m in _EMAIL.finditer(text):
-        after = text[m.end() : m.end() + 2]
-        if after[:1] == ":" and after[1:2].strip() and after[1:2] not in "/\"'" or text[max(0, m.start() - 3) : m.start()] == "://" or after[:1] == "/" and m[1].lower() == "git":
-            continue  # where a repository is cloned from
-        yield m.start(), m.end(), "email", 3.0
-    pos = 0
-    while (m := _HIDDEN.search(text, pos)) is not None:
-        whole = m.group()
-        bracketed = re.search(r"[\[({<]\s?(?:at|AT|At|a|ät|arroba|chez)\s?[\])}>]", whole)
-        if "@" not in whole and not bracketed and not re.search(_DOT, whole) or re.search(r"@\s?\d+(?:\.\d+)*$", whole):
-            pos = m.end(1)  # a plain "at" needs a spelled-out dot; what looked like the host may be a local part
-            continue
-        pos = m.end()
-        yield m.start(), m.end(), "email", 2.0
+    for lo, hi in _windows(_SIGN, text, 100, 260):
+        for m in _EMAIL.finditer(text, lo, hi):
+            after = text[m.end() : m.end() + 2]
+            if after[:1] == ":" and after[1:2].strip() and after[1:2] not in "/\"'" or text[max(0, m.start() - 3) : m.start()] == "://" or after[:1] == "/" and m[1].lower() == "git":
+                continue  # where a repository is cloned from
+            yield m.start(), m.end(), "email", 3.0
+    for lo, hi in _windows(_SPELLED, text, 100, 260):
+        pos = lo
+        while (m := _HIDDEN.search(text, pos, hi)) is not None:
+            whole = m.group()
+            bracketed = re.search(r"[\[({<]\s?(?:at|AT|At|a|ät|arroba|chez)\s?[\])}>]", whole)
+            if "@" not in whole and not bracketed and not re.search(_DOT, whole) or re.search(r"@\s?\d+(?:\.\d+)*$", whole):
+                pos = m.end(1)  # a plain "at" needs a spelled-out dot; what looked like the host may be a local part
+                continue
+            pos = m.end()
+            yield m.start(), m.end(), "email", 2.0
+
+
+_NUMBERS = re.compile(r"\d(?:[ .\-/()]{0,3}\d){6,}")
+_NUMERALS = re.compile(r"\d(?:[ .\-]?[\dA-Z]){5,}|[A-Z]{6}\d{2}|[CFGHJKLMNPRTVWXYZ][0-9CFGHJKLMNPRTVWXYZ]{8}")
 
 
 def _phones(text: str) -> Iterator[tuple[int, int, str, float]]:
-    for m in _PHONE.finditer(text):
+    for m in itertools.chain.from_iterable(_PHONE.finditer(text, lo, hi) for lo, hi in _windows(_NUMBERS, text, 6, 40)):
         digits = _digits(re.split(r"(?i)\s?,?(?:ext|x|durchwahl|poste|nebenstelle)", m.group())[0])
         if not 8 <= len(digits) <= 15:
             continue
@@ -241,7 +267,7 @@ def _phones(text: str) -> Iterator[tuple[int, int, str, float]]:
 
 
 def _national_ids(text: str) -> Iterator[tuple[int, int, str, float]]:
-    for m in _IDS.finditer(text):
+    for m in itertools.chain.from_iterable(_IDS.finditer(text, lo, hi) for lo, hi in _windows(_NUMERALS, text, 10, 24)):
         v, near = m.group(), _ID_WORDS.search(text[max(0, m.start() - NEAR) : m.start()]) is not None
         if m["nir"]:
             score = 2.0 if _nir_ok(v) else 0.5
@@ -272,6 +298,18 @@ def _addresses(text: str) -> Iterator[tuple[int, int, str, float]]:
         yield m.start(), end, "address", 1.5
 
 
+_COMMA, _INITIAL = re.compile(rf"[{_UP}{_LOW}],[ \t\r\n]"), re.compile(rf"[{_UP}]\.")
+
+
+def _each(pattern: re.Pattern, trigger: re.Pattern, text: str) -> Iterator[re.Match]:
+    """Matches near what ``trigger`` finds; the next may begin within the last."""
+    for lo, hi in _windows(trigger, text, 60, 80):
+        pos = lo
+        while (m := pattern.search(text, pos, hi)) is not None:
+            yield m
+            pos = m.start() + 1 if pattern is _INITIAL_FIRST else max(m.end(1), m.start() + 1)
+
+
 def _names(text: str) -> Iterator[tuple[int, int, str, float]]:
     common = common_words()
 
@@ -321,9 +359,7 @@ def _names(text: str) -> Iterator[tuple[int, int, str, float]]:
         if score >= THRESHOLD:
             yield m.start(), m.end(), "name", score
             pos = m.end()
-    pos = 0
-    while (m := _FAMILY_FIRST.search(text, pos)) is not None:
-        pos = m.start() + len(m[1])
+    for m in _each(_FAMILY_FIRST, _COMMA, text):
         if m[1] in GIVEN:
             continue
         before = text[max(0, m.start() - 24) : m.start()]
@@ -336,31 +372,20 @@ def _names(text: str) -> Iterator[tuple[int, int, str, float]]:
         if m[1][0].islower() and text[start - 2 : start - 1].isalpha():  # the preposition of the word in front
             start = m.end(1) - len(m[1].split()[-1])
         yield start, m.end(), "name", score + cues(start, m.end())
-    pos = 0
-    while (m := _INITIAL_FIRST.search(text, pos)) is not None:
-        pos = m.start() + 1
+    for m in _each(_INITIAL_FIRST, _INITIAL, text):
         yield m.start(), m.end(), "name", 0.4 + family_score(m[2], m.end(), 0.3) + cues(m.start(), m.end())
-    for m in _INITIAL_LAST.finditer(text):
+    for m in _each(_INITIAL_LAST, _INITIAL, text):
         yield m.start(), m.end(), "name", 0.4 + family_score(m[1], m.end()) + cues(m.start(), m.end())
 
 
-# what a text must hold for a kind to be looked for
-_FINDERS = (
-    (_emails, re.compile(rf"@|{_AT}")),
-    (_phones, re.compile(r"\d(?:[ .\-/()]{0,3}\d){6}")),
-    (_national_ids, re.compile(r"\d(?:[ .\-]?[\dA-Z]){5}|[A-Z]{6}\d{2}|[CFGHJKLMNPRTVWXYZ][0-9CFGHJKLMNPRTVWXYZ]{8}")),
-    (_addresses, re.compile(r"\d")),
-    (_names, re.compile(rf"[{_UP}][{_LOW}.]")),
-)
-
-
+_FINDERS = (_emails, _phones, _national_ids, _addresses, _names)
 # a quoted value of a record, as in SQL
 _QUOTED = re.compile(r"['\"]")
 
 
 def find(text: str) -> list[tuple[int, int, str, float]]:
     """(start, end, kind, score) of the places in ``text``, from 0, in order."""
-    found = [s for finder, trigger in _FINDERS if trigger.search(text) for s in finder(text)]
+    found = [s for finder in _FINDERS for s in finder(text)]
     spans = [s for s in found if s[3] >= THRESHOLD]
     for s in found:  # a quoted number in a record that holds another of the person's data
         if s[2] == "national_id" and 0.6 <= s[3] < THRESHOLD and _QUOTED.match(text, s[1]) and any(0 < s[0] - x[1] <= 8 and _QUOTED.match(text, x[1]) for x in spans):
