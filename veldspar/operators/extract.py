@@ -31,10 +31,6 @@ SCHEMA = "repo string, relpath string, fact string, type string, src string, nam
 _COLUMNS = [c.split()[0] for c in SCHEMA.split(", ")]
 
 
-def _text(node: ast.AST | None) -> str | None:
-    return None if node is None else ast.unparse(node)
-
-
 def _dotted(node: ast.AST) -> list[str]:
     """Name parts of a.b.c, or nothing if it is no such chain."""
     parts: list[str] = []

@@ -127,7 +127,6 @@ def g_path_shapes(spark, d):
     return named.groupBy("shape").agg(F.count(F.lit(1)).alias("n"))
 
 
-_CYCLES = "with recursive {g}, p(path) as (select [src, dst] from {t} where src < dst union all select list_append(path, t.dst) from p join {t} t on t.src = path[-1] where len(path) < {n} and t.dst > path[1] and not list_contains(path, t.dst)), c as (select path from p join {t} t on t.src = path[-1] and t.dst = path[1]) select array_to_string(path, ',') as cycle, len(path) as length from c"
 
 
 def _module(c="file"):
@@ -155,7 +154,12 @@ def a_coupling(spark, d):
     return module_imports(spark, d).orderBy(F.desc("n"), "repo", "src", "dst").limit(25).select("repo", F.col("src").alias("from_module"), F.col("dst").alias("to_module"), "n")
 
 
-@query()
+_LINKED = f"with recursive {sql_calls('CALLS', 'INSTANTIATES', 'EXTENDS', 'INHERITS', 'OVERRIDES')}, {sql_calls('EXTENDS').replace('calls as', 'up as')}, {sql_calls('CONTAINS', 'DEFINES').replace('calls as', 'owns as')}, {sql_nodes('label', 'name', 'param_count')}, above(a, b) as (select src, dst from up union select above.a, up.dst from above join up on up.src = above.b), ov as (select a.id src, b.id dst from cur a join owns oa on oa.dst = a.id join above on above.a = oa.src and above.b <> oa.src join owns ob on ob.src = above.b join cur b on b.id = ob.dst where a.label = 'Function' and b.label = 'Function' and a.name = b.name and a.param_count = b.param_count)"
+
+
+@query(_LINKED + """, every as (select src, dst from calls union select src, dst from ov), s as materialized (select src a, dst b from every where src <> dst union select dst, src from every where src <> dst),
+w(node, c) using key (node) as (select a, a from s group by 1 union select s.b, min(w.c) from w join s on s.a = w.node where not exists (select 1 from recurring.w r where r.node = s.b and r.c <= w.c) group by 1)
+select component, count(*) as n_nodes from (select node, min(c) component from w group by 1) group by 1""")
 def g_components(spark, d):
     """Connected components over calls, instantiations, inheritance and overrides, with their sizes.
 

@@ -6,9 +6,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from veldspar.functions import text as tx
-from veldspar.functions.keys import norm_id, spelling, trimmed
+from veldspar.functions.keys import norm_id, trimmed
 from veldspar.operators import ranking as rk
-from veldspar.plans.graphs import calls, current_nodes, sql_calls, sql_id, sql_nodes
+from veldspar.plans.graphs import calls, current_nodes, sql_id, sql_nodes
 from veldspar.plans.register import Book
 from veldspar.sources.tables import table
 
