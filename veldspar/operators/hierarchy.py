@@ -29,8 +29,8 @@ from veldspar.session import checkpointed
 
 #: Links of one group that may meet in one partition; larger groups are salted.
 LOCAL_LINKS = 200_000
-#: Contracted links up to which components are found in one task.
-ONE_TASK_LINKS = 1_000_000
+#: Contracted links up to which components are found in one task: no more than a partition holds anyway.
+ONE_TASK_LINKS = LOCAL_LINKS
 
 _STEP = "node string, ptr string, dist long, kind int, ids array<string>, labels array<string>"
 # kinds of a pointer: its end is a top or lies elsewhere, is a cycle the node is on, is a cycle above the node
