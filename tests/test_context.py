@@ -81,6 +81,21 @@ def test_pieces_match_a_loop(spark):
         assert got[i] == [*out, (len(out), n, used)]
 
 
+@pytest.mark.parametrize("width", [None, 7])
+def test_sessions_match_a_loop(spark, width):
+    r = random.Random(8)
+    rows = [(r.choice(("a", "a", "a", None)), r.choice((None, *range(0, 200))), i) for i in range(150)]
+    df = spark.createDataFrame(rows, "g string, t int, i int")
+    got = {x.i: x.session for x in ranking.gap_sessions(df, ["g"], F.col("t"), ["t", "i"], 4, width).collect()}
+    for g in ("a", None):
+        session, last = 0, None
+        for _, t, i in sorted((x for x in rows if x[0] == g), key=lambda x: (x[1] is not None, x[1] or 0, x[2])):
+            if last is None or t is None or t - last > 4:
+                session += 1
+            last = t
+            assert got[i] == session
+
+
 def test_places_in_order(spark):
     rows = [(i, (i * 37) % 101) for i in range(101)]
     df = spark.createDataFrame(rows, "i int, v int").repartition(5)

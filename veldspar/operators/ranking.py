@@ -56,11 +56,24 @@ def reciprocal_rank_fusion(legs: dict[str, DataFrame], key: str, k: int, constan
     return out.groupBy(key).agg(F.round(F.sum("_s"), 9).alias("rrf"), F.array_join(F.sort_array(F.collect_list("_l")), ",").alias("legs")).orderBy(F.desc("rrf"), key).limit(k)
 
 
-def gap_sessions(rows: DataFrame, group: Sequence[str], at: Column, order: Sequence[str], gap: float) -> DataFrame:
-    """``rows`` with ``session`` (from 1): a step above ``gap`` begins a new one."""
-    w = W.partitionBy(*group).orderBy(*order)
-    new = F.when(at - F.lag(at).over(w) <= gap, 0).otherwise(1)
-    return rows.withColumn("_new", new).withColumn("session", F.sum("_new").over(w)).drop("_new")
+def gap_sessions(rows: DataFrame, group: Sequence[str], at: Column, order: Sequence[str], gap: float, width: float | None = None) -> DataFrame:
+    """``rows`` with ``session`` (from 1): a step of ``at`` above ``gap`` begins a new one.
+
+    ``order`` must not go against ``at``. A group is cut into stretches of
+    ``width`` (a thousand gaps), each with the end of the one in front and the
+    number of sessions before it, so no window holds a whole group. Groups
+    compare null-safe; rows without ``at`` stand alone, before the others.
+    """
+    width = width or 1000 * gap
+    cut = rows.withColumn("_g", F.struct(*group)).withColumn("_at", at).withColumn("_b", F.coalesce(F.floor(F.col("_at") / width), F.lit(-(2**62))))
+    ends = cut.groupBy("_g", "_b").agg(F.max("_at").alias("_last")).withColumn("_prev", F.lag("_last").over(W.partitionBy("_g").orderBy("_b"))).select("_g", "_b", "_prev")
+    w = W.partitionBy("_g", "_b").orderBy(*order)
+    step = F.col("_at") - F.coalesce(F.lag("_at").over(w), "_prev")
+    marked = checkpointed(cut.join(ends, ["_g", "_b"]).withColumn("_new", F.when(step <= gap, 0).otherwise(1)))
+    counts = marked.groupBy("_g", "_b").agg(F.sum("_new").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(W.partitionBy("_g").orderBy("_b").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    out = marked.join(counts.select("_g", "_b", before.alias("_from")), ["_g", "_b"])
+    return out.withColumn("session", F.col("_from") + F.sum("_new").over(w.rowsBetween(W.unboundedPreceding, 0))).drop("_g", "_b", "_at", "_prev", "_new", "_from")
 
 
 def keep_if_any(rows: DataFrame, group: Sequence[str], wanted: Column) -> DataFrame:
