@@ -153,3 +153,18 @@ def test_call_cascade_prefers_scope_then_imports_then_receivers(spark):
     assert got == {(1, "m1"): "same_scope", (2, "m3"): "imports_qualified_exact", (4, "g1"): "name"}
     assert [(r.ref_id, r.id, r.strategy) for r in resolve.resolved_types(refs, nodes, parents, ("OF_TYPE",)).collect()] == [(6, "c2", "imports_qualified_exact")]
     assert resolve.resolved_calls(refs.limit(0), nodes, parents).count() == 0
+
+
+def test_secrets_and_links_between_languages(spark, tmp_path):
+    from veldspar.plans import audit, resolver
+
+    key, loose = "AKIA" + "Z" * 16, "q8Zr2LkP0xWv7NbT4mYc9HsDfG1jKe"
+    docs = [(1, f"id {key} here"), (2, f"blob {loose}= end"), (3, "password = 'dummy-value-1'"), (4, "a" * 40), (5, None), (6, "")]
+    put(spark, tmp_path, "documents", docs, "doc_id long, text string")
+    rows = [("r", "srv.py", "@app.get('/items')\ndef f(): pass\n@app.post(\"/twice\")\n", T1), ("r", "other.py", "@app.post('/twice')\ntoken: \"s3cr3t-s3cr3t\"\n", T1), ("r", "ui.ts", "fetch('/items'); axios.post('/twice'); fetch('/none')\n", T1), ("r", "ui.py", "requests.get('/items')\n", T1)]
+    d = put(spark, tmp_path, "files", rows, FILE)
+    found = {(r.place, r.kind, r.grade) for r in audit.x_secrets(spark, d).collect()}
+    assert {("d1", "aws", "high"), ("d2", "entropy", "medium"), ("d3", "assigned", "low"), ("r:other.py", "assigned", "high")} <= found and not any(p in ("d4", "d5", "d6") for p, *_ in found)
+    assert {(r.caller, r.target, r.route) for r in resolver.j_cross_lang(spark, d).collect()} == {("r:ui.ts", "r:srv.py", "/items")}
+    routes = {(r.kind, r.method, r.route): r.n for r in audit.x_route_regex(spark, d).collect()}
+    assert routes[("route", "POST", "/twice")] == 2 and routes[("client", "GET", "/items")] == 1
