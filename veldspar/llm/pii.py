@@ -124,11 +124,10 @@ _GIVEN_LEAD = re.compile(rf"({_WORD})(?:{_GAP}{_INITIALS})*{_GAP}$")
 _INITIAL_FIRST = re.compile(rf"(?<![\w@.\-/&])({_INITIALS}){_GAP}?({_FAMILY})(?![\w@])")
 _INITIAL_LAST = re.compile(rf"(?<![\w@.\-/])({_FAMILY}),{_GAP}({_INITIALS})(?!\w)")
 
-_TITLE = re.compile(r"(?:\b(?:Mr|Mrs|Ms|Miss|Dr|Prof|Sir|Herrn?|Frau|Hr|Fr|M|Mme|Mlle|Monsieur|Madame|Sr|Sra|Srta|Don|Doña|Dra|Drs)\.?\s)+$")
-_LEAD = re.compile(
-    r"(?:(?:\b(?:[a-z]+-by|author|name|user|reporter|owner|contact|assignee|from|to|cc|by|with|for|ask|ping|call|thank|thanks|regards|sincerely|and|says"
-    r"|von|vom|an|für|mit|bei|und|durch|danke|grüße|gruß|par|pour|avec|chez|et|merci|cordialement|au|à|por|para|con|y|gracias|saludos|contacte[rz]?)\s?[:=,]?\s?[\"'(]?\s?)$)",
-    re.I,
+# Titles, and words in front of persons.
+_TITLES = frozenset("Mr Mrs Ms Miss Dr Prof Sir Herr Herrn Frau Hr Fr M Mme Mlle Monsieur Madame Sr Sra Srta Don Doña Dra Drs".split())
+_LEADS = frozenset(
+    "author name user reporter owner contact assignee from to cc by with for ask ping call thank thanks regards sincerely and says von vom an für mit bei und durch danke grüße gruß par pour avec chez et merci cordialement au à por para con y gracias saludos contactez contacter contacte".split()
 )
 _TRAIL = re.compile(
     r"[ ]?[<(]\s*[\w.+\-%]+\s*(?:@|[\[(]at[\])]|\bat\b)|,?\s(?:said|says|wrote|writes|asked|asks|has|had|was|is|will|would|fixed|reviewed|approved|reported|noted|lives|lived|works|worked|called|calls|thinks|wants|needs|agrees|disagrees|joined|left|added|merged|suggested"
@@ -261,7 +260,7 @@ def _phones(text: str) -> Iterator[tuple[int, int, str, float]]:
         if _ID_WORDS.search(before[-25:]):
             score -= 0.6
         yield m.start(), m.end(), "phone", score
-    for m in _SPOKEN.finditer(text):
+    for m in itertools.chain.from_iterable(_SPOKEN.finditer(text, lo, hi) for lo, hi in _windows(_NUMBERS, text, 24, 4)):
         if 8 <= len(_digits(m[1])) <= 15:
             yield m.start(1), m.end(1), "phone", 1.1
 
@@ -298,6 +297,19 @@ def _addresses(text: str) -> Iterator[tuple[int, int, str, float]]:
         yield m.start(), end, "address", 1.5
 
 
+def _titled(before: str) -> bool:
+    """Whether the text ends with a title and a blank."""
+    bare = before.rstrip()
+    return bare != before and bare.rsplit(None, 1)[-1].rstrip(".").lstrip("\"'({[") in _TITLES if bare else False
+
+
+def _led(before: str) -> bool:
+    """Whether the text ends with a word that leads to a person, punctuation aside."""
+    bare = before.rstrip(" \t\r\n\"'(:=,")
+    word = bare.rsplit(None, 1)[-1].lstrip("\"'({[").lower() if bare else ""
+    return word in _LEADS or word.endswith("-by")
+
+
 _COMMA, _INITIAL = re.compile(rf"[{_UP}{_LOW}],[ \t\r\n]"), re.compile(rf"[{_UP}]\.")
 
 
@@ -324,13 +336,13 @@ def _names(text: str) -> Iterator[tuple[int, int, str, float]]:
     def cues(start: int, end: int) -> float:
         before = text[max(0, start - 40) : start]
         follows = _TRAIL.match(text, end) is not None or _JOINED.match(text, end) is not None
-        leads = _LEAD.search(before) is not None or _LISTED.search(before) is not None
-        return (0.8 if _TITLE.search(before) else 0) + (0.4 if leads else 0) + (0.4 if follows else 0)
+        leads = _led(before) or _LISTED.search(before) is not None
+        return (0.8 if _titled(before) else 0) + (0.4 if leads else 0) + (0.4 if follows else 0)
 
     def family_score(family: str, end: int, lone: float = 0.5) -> float:
         """0.6 for an uncommon family name, less for common words and things named after persons."""
         words = [w for w in re.split(r"[\s\-]+", family) if w[0].isupper()]
-        if any(w in _PLACES_AND_TIMES or len(w) < 3 and w.isupper() or _TITLE.search(f"{w} ") for w in words):
+        if any(w in _PLACES_AND_TIMES or len(w) < 3 and w.isupper() or w in _TITLES for w in words):
             return -2.0
         score = 0.6 if any(not usual(w) for w in words) else -0.1
         m = _BEHIND.match(text, end)
@@ -364,7 +376,7 @@ def _names(text: str) -> Iterator[tuple[int, int, str, float]]:
             continue
         before = text[max(0, m.start() - 24) : m.start()]
         lead = _GIVEN_LEAD.search(before)
-        if lead and given_score(lead[1]) > 0 and not _LEAD.search(before) and not _TITLE.search(before):  # "Given Family, Given ..." is a list
+        if lead and given_score(lead[1]) > 0 and not _led(before) and not _titled(before):  # "Given Family, Given ..." is a list
             continue
         given = m[2].split("-")[0]
         score = family_score(m[1], m.end()) + given_score(given) - (0.0 if given in GIVEN else 0.2)
