@@ -96,7 +96,9 @@ def resolved_calls(refs: DataFrame, nodes: DataFrame, parents: DataFrame) -> Dat
     named = defs.withColumn("target", F.explode(F.array_distinct(F.array("name", "fqn"))))
     pool = keep_if_any(calls.join(named, ["repo", "target"]), ["ref_id"], F.col("label") == "Function")
     classes = nodes.where("label = 'Class'").select("repo", F.col("id").alias("cls"), "name", "fqn", "file")
-    above = nearest_above(parents, nodes.where("label = 'Class'").select(F.col("id").alias("node")))
+    # only functions lie in functions, so a climb that leaves them has found its class or never will
+    inside = parents.join(nodes.where("label = 'Function'").select(F.col("id").alias("child")), "child", "left_semi")
+    above = nearest_above(inside, nodes.where("label = 'Class'").select(F.col("id").alias("node")))
 
     def receivers(column: str, flag: str) -> DataFrame:
         """(ref_id, parent, flag): the visible classes that the column names."""

@@ -62,7 +62,7 @@ def _sql_recv(c: str, name: str) -> str:
 
 
 _CALLS = f"""with recursive {_BASE},
-climb(n, a, path) as (select c, p, [c] from par union all select n, par.p, list_append(path, a) from climb join par on par.c = a where a not in (select id from nd where label = 'Class') and not list_contains(path, par.p)),
+fp as materialized (select c, p from par where c in (select id from nd where label = 'Function')), climb(n, a, path) as (select c, p, [c] from fp union all select n, fp.p, list_append(path, a) from climb join fp on fp.c = a where not list_contains(path, fp.p)),
 own as materialized (select n, a from climb where a in (select id from nd where label = 'Class')),
 {_sql_recv('recv_type', 'typed')}, {_sql_recv('recv', 'called')},
 df as materialized (select nd.*, par.p parent from nd left join par on par.c = nd.id where label in ('Function', 'Class')),
