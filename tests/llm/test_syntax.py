@@ -164,3 +164,17 @@ def test_the_fold_decides(monkeypatch):
 def test_the_statements_decide(monkeypatch):
     monkeypatch.setattr(syntax, "parsed", lambda *_: 2)
     assert syntax.valid("javascript", "let x = ;")
+
+
+@pytest.mark.parametrize("text", ["x = `${ f( }`;", "x = `${ a ) }`;", "x = `${ a] } ${ (b }`;", "x = `${ (`a ${ b( }`) }`;", "x = `a ${ [1 } ` /* open"])
+@pytest.mark.parametrize("lang", ["javascript", "typescript"])
+def test_brackets_crossing_a_template_are_judged(lang, text):
+    assert syntax.read(lang, text).end == syntax.UNSURE
+    assert syntax.valid(lang, text) is False
+
+
+def test_a_file_the_map_cannot_tell_fails_no_task(spark):
+    rows = [("r", "a.js", "x = `${ f( }`;", dt.datetime(2025, 1, 1)), ("r", "b.ts", "let x = `${ f() }`;", dt.datetime(2025, 1, 1))]
+    df = spark.createDataFrame(rows, "repo string, relpath string, text string, last_indexed timestamp_ntz")
+    for size in (65_536, 8):
+        assert {r.relpath: r.valid for r in syntax.verdicts(df, chunk_chars=size).collect()} == {"a.js": False, "b.ts": True}

@@ -293,6 +293,13 @@ def statements(lang: str, text: str, reading: Reading) -> list[str | tuple]:
     return [tuple(part[a:z] for part in reading.found) for a, z in grammar.statements(reading.found)]
 
 
+def _whole(lang: str, text: str) -> str | tuple:
+    """A text as one statement; raises an error of the grammar if it ends within a comment or literal."""
+    from veldspar.llm import grammar_java, grammar_js
+
+    return text if lang == "python" else (grammar_java if lang == "java" else grammar_js).tokens(text)
+
+
 def _faults() -> tuple:
     from veldspar.llm.grammar_base import Invalid
 
@@ -307,7 +314,7 @@ def valid(lang: str, text: str) -> bool | None:
     if told is False:
         return False
     try:
-        return in_order(lang, [parsed(lang, x) for x in (statements(lang, text, reading) if told else [text] if lang == "python" else [reading.found])])
+        return in_order(lang, [parsed(lang, x) for x in (statements(lang, text, reading) if told else [_whole(lang, text)])])
     except _faults():
         return False
     except (RecursionError, MemoryError):
@@ -399,13 +406,11 @@ def _long_verdicts(rows: DataFrame, chunk_chars: int) -> DataFrame:
                 yield pd.DataFrame([(*r[:4], i, x) for i, x in enumerate(texts)], columns=[*_KEYS, "no", "statement"])
 
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        from veldspar.llm import grammar_java, grammar_js
-
         def one(lang: str, x: str | None) -> tuple[bool | None, int | None]:
             if x is None:
                 return False, None
             try:
-                return True, parsed(lang, x if lang == "python" else (grammar_java if lang == "java" else grammar_js).tokens(x))
+                return True, parsed(lang, _whole(lang, x))
             except _faults():
                 return False, None
             except (RecursionError, MemoryError):
