@@ -113,3 +113,31 @@ def test_all_descendants_match_brute_force(spark, seed):
             seen |= front
             want.update({(a, y): d for y in front})
     assert got == want and set(got) == {(a, b) for a, bs in reach(links).items() for b in bs if a != b}
+
+
+@pytest.mark.parametrize(("local", "one_task"), [(200_000, 40), (30, 40), (30, 0)])
+def test_many_junctions_match_brute_force(spark, local, one_task):
+    r = random.Random(local + one_task)
+    names = [f"{i:03x}" for i in range(240)]
+    # groups of mutual links within a repository, a wide acyclic rest, and a few links between the repositories
+    links = [(names[a], names[b]) for g in range(8) for a, b in ((r.randrange(g * 30, g * 30 + 30), r.randrange(g * 30, g * 30 + 30)) for _ in range(45))]
+    links += [(names[r.randrange(g * 30, g * 30 + 30)], names[(g * 30 + 37) % 240]) for g in range(7)] + [("fff", "fff"), (names[1], "fff")]
+    links += [(f"x{i:03}", f"x{j:03}") for i in range(120) for j in range(i + 1, min(i + 4, 120))]
+    rows = [("CONTAINS", a, b, f"repo{int(a[-3:], 16) // 30}" if a[0] != "x" else "x") for a, b in links]
+    got = [tuple(x) for x in hi.find_cycles(spark.createDataFrame(rows, SCHEMA), local_links=local, one_task_links=one_task).collect()]
+    assert len(got) == len(set(got))
+    assert set(got) == brute_cycles(links)
+
+
+def test_what_no_cycle_needs_is_cut_until_one_task_suffices(spark, monkeypatch):
+    seen = []
+    inner = hi._components
+    monkeypatch.setattr(hi, "_components", lambda links, n, most: seen.append(n) or inner(links, n, most))
+    # a thousand links of a tree, a ring in each of two places, the rings in one ring
+    links = [(f"t{i // 2}", f"t{i}") for i in range(1, 1000)] + [(f"{p}{i}", f"{p}{(i + d) % 30}") for p in "ab" for i in range(30) for d in (1, 2)] + [("a0", "b0"), ("b1", "a1"), ("b0", "t3")]
+    df = spark.createDataFrame(links, "a string, b string")
+    places = spark.createDataFrame(sorted({(x, int(x[0] == "a")) for p in links for x in p}), "node string, shard long")
+    got = {r.node: r.component for r in hi.components_with_cycles(df, 10, places).collect()}
+    want = {n: c for c, n in brute_cycles(links)}
+    assert got == want
+    assert seen[0] <= 10

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from veldspar.functions.keys import norm_id, trimmed
-from veldspar.session import checkpointed
+from veldspar.session import checkpointed, released
 
 #: Links of one group that may meet in one partition; larger groups are salted.
 LOCAL_LINKS = 200_000
@@ -235,16 +235,82 @@ def _tarjan(pairs: list[tuple[str, str]]) -> dict[str, str]:
     return found
 
 
-def components_with_cycles(links: DataFrame, one_task_links: int = ONE_TASK_LINKS) -> DataFrame:
+def _trimmed(links: DataFrame, n: int, enough: int) -> tuple[DataFrame, int]:
+    """``links`` without nodes that have no link in or none out, and their number.
+
+    Rounds go on while they cut off a tenth or more, and down to ``enough``.
+    """
+    while n > enough:
+        into, out_of = links.select(F.col("b").alias("a")).distinct(), links.select(F.col("a").alias("b")).distinct()
+        left = checkpointed(links.join(into, "a", "left_semi").join(out_of, "b", "left_semi").select("a", "b"))
+        released(links)
+        links, before, n = left, n, left.count()
+        if n > 0.9 * before:
+            break
+    return links, n
+
+
+def _components_in_places(links: DataFrame, places: DataFrame, local_links: int) -> DataFrame:
+    """(node, component) of the components that the links within one place make.
+
+    ``places`` is (node, shard). Where a shard has more links than
+    ``local_links`` its nodes are salted, k ways for k * k times as many, since
+    a link stays if both its nodes do. No node is in two places.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        found = _tarjan([pair for b in batches for pair in zip(b["a"], b["b"], strict=True)])
+        yield pd.DataFrame(list(found.items()), columns=["node", "component"])
+
+    at = lambda node, shard: places.select(F.col("node").alias(node), F.col("shard").alias(shard))
+    near = checkpointed(links.join(at("a", "shard"), "a").join(at("b", "_to"), "b").where("shard = _to").select("a", "b", "shard"))
+    salts = near.groupBy("shard").agg(F.ceil(F.sqrt(F.count(F.lit(1)) / local_links)).alias("salts")).where("salts > 1")
+    salted = near.join(F.broadcast(salts), "shard", "left").withColumn("salts", F.coalesce("salts", F.lit(1)))  # at most links / local_links rows of salts
+    salt = lambda c: F.pmod(F.xxhash64(c), F.col("salts"))
+    placed = salted.where(salt("a") == salt("b")).select("a", "b", F.xxhash64("shard", salt("a")).alias("shard"))
+    found = checkpointed(placed.repartition(_parts(near, local_links), "shard").select("a", "b").mapInPandas(run, "node string, component string"))
+    released(near)
+    return found
+
+
+def _merged(links: DataFrame, found: DataFrame) -> DataFrame:
+    """``links`` with each component of ``found`` (node, component) as one node, without those inside it."""
+    to = lambda node, c: found.select(F.col("node").alias(node), F.col("component").alias(c))
+    ends = links.join(to("a", "_ca"), "a", "left").join(to("b", "_cb"), "b", "left").where("_ca is null or _cb is null or _ca <> _cb")
+    return checkpointed(ends.select(F.coalesce("_ca", "a").alias("a"), F.coalesce("_cb", "b").alias("b")).distinct())
+
+
+def components_with_cycles(links: DataFrame, one_task_links: int = ONE_TASK_LINKS, places: DataFrame | None = None, local_links: int = LOCAL_LINKS) -> DataFrame:
     """(node, component) of the strongly connected components that hold a cycle.
 
     ``links`` is (a, b). Up to ``one_task_links`` one task finds them in one
-    pass; beyond, colours spread along the links: nodes with no link in or out
-    are cut off, the least id spreads forward until it stands still, and what
-    reaches the colour's own node against the links is its component.
+    pass. Of more, nodes with no link in or out are cut off, and with ``places``
+    (node, shard) what is a component within its shard becomes one node, until
+    what is left fits one task. If it never does, colours spread.
     """
     links = checkpointed(links.select("a", "b").distinct())
-    if links.count() <= one_task_links:
+    links, n = _trimmed(links, links.count(), one_task_links)
+    if n <= one_task_links or places is None:
+        return _components(links, n, one_task_links)
+    found = _components_in_places(links, places, local_links)
+    left = _merged(links, found)
+    released(links)
+    left, n = _trimmed(left, left.count(), one_task_links)
+    rest = checkpointed(_components(left, n, one_task_links))
+    released(left)
+    wider = rest.select(F.col("node").alias("component"), F.col("component").alias("_wider"))
+    whole = found.join(wider, "component", "left").select("node", F.coalesce("_wider", "component").alias("component"))
+    return whole.unionByName(rest.join(found.select("node"), "node", "left_anti"))
+
+
+def _components(links: DataFrame, n: int, one_task_links: int) -> DataFrame:
+    """(node, component) of the components among ``n`` links, in one task or by colours.
+
+    Colours spread along the links: nodes with no link in or out are cut off,
+    the least id spreads forward until it stands still, and what reaches the
+    colour's own node against the links is its component.
+    """
+    if n <= one_task_links:
 
         def run(pdf: pd.DataFrame) -> pd.DataFrame:
             return pd.DataFrame(list(_tarjan(list(zip(pdf["a"], pdf["b"], strict=True))).items()), columns=["node", "component"])
@@ -342,7 +408,8 @@ def find_cycles(edges: DataFrame, types: dict[str, bool] | None = None, local_li
     contracted = checkpointed(climbs.join(tops, "p", "left").select("b", "p", F.coalesce("a", "p").alias("a")).join(is_junction, "a", "left_semi").select("a", "b", "p"))
     if contracted.isEmpty():
         return found
-    groups = checkpointed(components_with_cycles(contracted, one_task_links))
+    places = heads.where("n_parents > 1").select(F.col("child").alias("node"), "shard")
+    groups = checkpointed(components_with_cycles(contracted, one_task_links, places, local_links))
     inside = contracted.join(groups.withColumnsRenamed({"node": "a", "component": "ca"}), "a").join(groups.withColumnsRenamed({"node": "b", "component": "cb"}), "b").where("ca = cb")
     chains = _marked_chains(heads, checkpointed(inside.where("p <> a").select(F.col("p").alias("node"), F.col("ca").alias("component")).distinct()), parts)
     members = groups.unionByName(chains)
